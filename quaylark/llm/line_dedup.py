@@ -95,15 +95,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "line_no").distinct()
 
 
-def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
-    """docs with duplicate_lines taken out of the text, and (rows)(lines_removed int, left boolean) in
-    __lines_removed and __left; __left is false if lines went and no word is left. A text that loses
-    nothing stays as it is, null and empty ones too."""
-    gone = duplicate_lines(docs, id_col, text_col, percent).groupBy("id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("id", "__id")
-    out = docs.withColumn("__id", F.col(id_col).cast("long")).join(gone, "__id", "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    new = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn(text_col, new).withColumn("__lines_removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    left = (F.col("__lines_removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D ]")
-    return out.withColumn("__left", left).drop("__gone", "__id")
+def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", percent: int = 90) -> DataFrame:
+    """The rows of docs without the lines of duplicate_lines; all other columns as they are, but for
+    length_col, the new text's characters where lines went. A row that loses lines and keeps no word
+    goes. A text that loses nothing stays as it is, null and empty ones too."""
+    names = {c.lower() for c in docs.columns}
+    gone = next(x for x in (f"gone{i}" for i in range(10**6)) if x not in names)
+    key = next(x for x in (f"key{i}" for i in range(10**6)) if x not in names)
+    lines = duplicate_lines(docs, id_col, text_col, percent).groupBy("id").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("id", key)
+    out = docs.join(lines, docs[id_col].cast("long") == F.col(key), "left")
+    text = F.col(f"`{text_col}`")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    out = out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept)).where(F.col(gone).isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col(gone).isNull(), F.col(length_col)).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -48,6 +48,14 @@ def model(path: str | None = None, sharpness: float = 1.0) -> "Model":
     return _MODELS[key]
 
 
+SLOTS = 1 << 19
+
+
+def _slot(k: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
+
 class Model:
     """Pieces with weights, and the lattices of the words met so far.
 
@@ -79,7 +87,7 @@ class Model:
         self.fresh()
 
     def _trie(self) -> None:
-        """Edges as sorted keys state * 2 ** 21 + code point; state 0 is the root."""
+        """Edges as a hash table of state * 2 ** 21 + code point; state 0 is the root."""
         states: dict[str, int] = {"": 0}
         edges: list[tuple[int, int]] = []
         for p in self.weight:
@@ -87,8 +95,13 @@ class Model:
                 if p[:m] not in states:
                     states[p[:m]] = len(states)
                     edges.append(((states[p[: m - 1]] << 21) + ord(p[m - 1]), states[p[:m]]))
-        edges.sort()
-        self.edge, self.to = np.array([e for e, _ in edges]), np.array([t for _, t in edges])
+        # open addressing: a key lies at its hash or in the slots after, before the first empty one
+        self.edge, self.to = np.full(SLOTS + 64, -1), np.zeros(SLOTS + 64, np.int64)
+        for e, t in edges:
+            at = int(_slot(np.array([e]))[0])
+            while self.edge[at] >= 0:
+                at += 1
+            self.edge[at], self.to[at] = e, t
         self.state_id, self.state_weight = np.full(len(states), -1), np.zeros(len(states))
         for p, (i, w) in self.weight.items():
             self.state_id[states[p]], self.state_weight[states[p]] = i, w
@@ -134,8 +147,15 @@ class Model:
         single = np.zeros(n, bool)
         for m in range(1, self.deepest + 1):
             k = (state << 21) + chars[live + m - 1]
-            e = np.minimum(np.searchsorted(self.edge, k), len(self.edge) - 1)
-            on = self.edge[e] == k
+            at, e = _slot(k), np.full(len(k), -1)
+            ask = np.arange(len(k))
+            while len(ask):
+                got = self.edge[at]
+                hit = got == k[ask]
+                e[ask[hit]] = at[hit]
+                more = ~hit & (got >= 0)
+                ask, at = ask[more], at[more] + 1
+            on = e >= 0
             live, state = live[on], self.to[e[on]]
             ok = self.state_id[state] >= 0
             if m == 1:
@@ -154,7 +174,8 @@ class Model:
         src = np.concatenate([f[0] for f in found])
         length = np.concatenate([np.full(len(f[0]), f[1]) for f in found])
         ident, weight = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
-        order = np.lexsort((length, src))
+        # the longest first: it mostly has most of the node's probability
+        order = np.argsort(src * 64 - length, kind="stable")
         src, dst, ident, weight = src[order], (src + length)[order], ident[order], weight[order]
         slots = np.flatnonzero(distance > 0)
         arc_at = np.searchsorted(src, slots)
@@ -201,9 +222,17 @@ class Model:
     def spell(self, arcs: np.ndarray) -> np.ndarray:
         """The ids of a path."""
         ids = self.ids[arcs]
-        if len(ids) and ids.min() < 0:
-            ids = np.array([y for x in ids.tolist() for y in (self.spelt[-1 - x] if x < 0 else (x,))], np.int64)
-        return ids
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids
+        spelt = [self.spelt[-1 - x] for x in ids[odd].tolist()]
+        n = np.array([len(x) for x in spelt])
+        many = np.ones(len(ids), np.int64)
+        many[odd] = n
+        out = np.repeat(ids, many)
+        at = np.repeat((np.cumsum(many) - many)[odd] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out[at] = [y for x in spelt for y in x]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces' bytes in order, without the space in front."""
@@ -251,7 +280,12 @@ class Search:
         live, steps = np.arange(len(now)), []
         while len(live):
             with np.errstate(over="ignore"):
-                arc = np.searchsorted(self.key, now + _uniform(base + np.uint64(len(steps)) * _STEP))
+                target = now + _uniform(base + np.uint64(len(steps)) * _STEP)
+            arc = self.m.node_arc[now]
+            ask = np.flatnonzero(self.key[arc] < target)
+            while len(ask):
+                arc[ask] += 1
+                ask = ask[self.key[arc[ask]] < target[ask]]
             steps.append((live, arc))
             count[live] += 1
             now = self.m.next[arc]

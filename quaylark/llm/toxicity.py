@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,3 +206,14 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
     out = rows.where("doc_id is not null").mapInPandas(f, "doc_id long, score double, predicted int")
     unnamed = rows.where("doc_id is null").select("text").mapInPandas(lambda frames: (pd.DataFrame({"score": [score(t, grammar) for t in df["text"]]}) for df in frames), "score double")
     return out.unionByName(unnamed.select(F.lit(None).cast("long").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+def without_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below 0.5. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([score(t, grammar) < 0.5 for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(f, docs.schema)
