@@ -76,6 +76,13 @@ def trained(variants: int = 24, seed: int = 7, wrong: float = 0.02) -> dict:
             rows += [(grams(tokens(v)), label) for v in varied(t, rng, variants)]
     anchors = sorted({w for ts in [*TEMPLATES.values(), OTHERS] for t in ts for w in tokens(t)} - COMMON)
     keep = frozenset(anchors)
+    # one or two words of a notice don't make one: in other languages they are common words
+    for t in ORDINARY:
+        for _ in range(3 * variants):
+            w = t.split()
+            for a in rng.choice(anchors, rng.integers(1, 3)):
+                w.insert(int(rng.integers(0, len(w) + 1)), str(a))
+            rows.append((grams(tokens(" ".join(w))), len(names) - 1))
     vocabulary = sorted({g for gs, label in rows for g in gs if keep & set(g.split()) and label < len(names) - 1})
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(at) + 1))
