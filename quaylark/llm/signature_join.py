@@ -32,6 +32,8 @@ COUNT_BUCKETS = 1 << 16
 BLOCK = 256
 #: Minimum hashes for the first round.
 KEYS = 2
+#: Up to so many documents of a prefix shingle meet pair by pair; more are a block.
+FEW = 32
 LEAF = 8
 
 
@@ -212,11 +214,11 @@ def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _prefixes(counts: np.ndarray, percent: int):
-    """Rows (h, id, n, at) of each text's prefix: its rarest shingles, as many as any partner must meet."""
+    """Rows (h, id, n) of each text's prefix: its rarest shingles, as many as any partner must meet."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            h, ids, ns, at = [], [], [], []
+            h, ids, ns = [], [], []
             for i, s in _sets(df):
                 n = len(s)
                 if not n:
@@ -230,13 +232,11 @@ def _prefixes(counts: np.ndarray, percent: int):
                     chosen = np.concatenate((below, np.flatnonzero(c == cut)[: p - len(below)]))
                 else:
                     chosen = np.arange(n)
-                chosen = chosen[np.lexsort((chosen, c[chosen]))]
                 h.append(s[chosen].view(np.int64))
                 ids.append(np.full(len(chosen), i, np.int64))
                 ns.append(np.full(len(chosen), n, np.int32))
-                at.append(np.arange(len(chosen), dtype=np.int32))
             if h:
-                yield pd.DataFrame({"h": np.concatenate(h), "id": np.concatenate(ids), "n": np.concatenate(ns), "at": np.concatenate(at)})
+                yield pd.DataFrame({"h": np.concatenate(h), "id": np.concatenate(ids), "n": np.concatenate(ns)})
 
     return f
 
@@ -251,6 +251,29 @@ def _chunked(rows: DataFrame) -> DataFrame:
     return tasks.select("block", F.least("chunk", "other").alias("u"), F.greatest("chunk", "other").alias("v"), F.when(F.col("other") < F.col("chunk"), 1).otherwise(0).alias("side"), "id", "comp")
 
 
+def _pair_tasks(few: DataFrame, percent: int) -> DataFrame:
+    """Tasks of two for the pairs of prefix rows (h, id, n, comp) of few documents each.
+
+    Take the one of a pair whose prefix ends first in the order: what its prefix doesn't share with the
+    other's prefix the other lacks. So a pair at the threshold shares at least needed - n + prefix
+    shingles of the prefixes, for one of the two. A pair that also meets in a block of many documents
+    may be dropped here, as that block joins it."""
+    x, y = few.alias("x"), few.alias("y")
+    close = (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & close).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
+    prefix = lambda n: n - F.ceil(n * percent / 100) + 1
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    pairs = pairs.where(F.col("shared") >= F.least(least - F.col("na") + prefix(F.col("na")), least - F.col("nb") + prefix(F.col("nb"))))
+    zero = F.lit(0)
+    return pairs.select(F.xxhash64("a", "b").alias("block"), zero.alias("u"), zero.alias("v"), zero.alias("side"), F.explode(F.array("a", "b")).alias("id")).withColumn("comp", F.col("id"))
+
+
+def _distinct_blocks(rows: DataFrame) -> DataFrame:
+    """Of shingles with the same documents, one as a block (block, id, comp)."""
+    same = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sig"))
+    return rows.join(same.groupBy("c", "sig").agg(F.min("h").alias("h")).select("h"), "h").select(F.col("h").alias("block"), "id", "comp")
+
+
 def _links(tasks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in tasks (block, u, v, side, id, comp)."""
     sets = _with_sets(texts, tasks.select("id").distinct())
@@ -299,15 +322,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = staged(components(first))
 
     # round two: every prefix shingle whose documents aren't connected yet
-    found = rep_texts.mapInPandas(_prefixes(counts, percent), "h long, id long, n int, at int")
+    found = rep_texts.mapInPandas(_prefixes(counts, percent), "h long, id long, n int")
     w = Window.partitionBy("h")
-    shared = found.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi").select("h", "id")
-    named = shared.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
-    open_h = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sig")).where("lo < hi")
-    # shingles with the same documents are one block
-    blocks = open_h.groupBy("c", "sig").agg(F.min("h").alias("h")).select("h")
-    rows = staged(named.join(blocks, "h").select(F.col("h").alias("block"), "id", "comp"))
-    second = _links(_chunked(rows), texts, percent)
+    shared = found.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi").select("h", "id", "n")
+    named = shared.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp"))
+    open_ = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("c", F.count(F.lit(1)).over(w)).where("lo < hi")
+    open_ = staged(open_.select("h", "id", "n", "comp", "c"))
+    few = open_.where(F.col("c") <= FEW)
+    tasks = _pair_tasks(few, percent).unionByName(_chunked(_distinct_blocks(open_.where(F.col("c") > FEW))))
+    second = _links(staged(tasks), texts, percent)
 
     links = staged(first.unionByName(second))
     joined = components(links).select(F.col("node").alias("class_id"), "component")
