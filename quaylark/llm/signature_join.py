@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,14 +28,17 @@ from pyspark.sql.window import Window
 from quaylark.llm.common import components, mix, runs, shingle_set, small_batches, staged, words_of
 
 #: Buckets of the corpus count of shingles: a bound on what is broadcast.
-COUNT_BUCKETS = 1 << 16
+COUNT_BUCKETS = 1 << 20
+#: Buckets of a row in which a task's counts travel.
+SLICE = 1 << 14
 #: Rows of a block that one task joins at once.
 BLOCK = 256
 #: Minimum hashes for the first round.
 KEYS = 2
 #: Up to so many documents of a prefix shingle meet pair by pair; more are a block.
-FEW = 32
+FEW = 64
 LEAF = 8
+_SHIFT = np.uint64(64 - (COUNT_BUCKETS - 1).bit_length())
 
 
 def needed(nx, ny, percent: int):
@@ -193,24 +197,41 @@ def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """kind 0: a document's set size, two sums that stand for the set, and minimum hashes. kind 1:
     the counts of the task's shingles by bucket."""
     counts = np.zeros(COUNT_BUCKETS, np.int64)
-    columns = ["kind", "id", "n", "s1", "s2", "k0", "k1"]
+    columns = ["kind", "id", "n", "s1", "s2", "k0", "k1", "counts"]
     for df in frames:
         rows, buckets = [], []
         for i, s in _sets(df):
             if not len(s):
-                rows.append((0, i, 0, 0, 0, 0, 0))
+                rows.append((0, i, 0, 0, 0, 0, 0, None))
                 continue
-            buckets.append((s >> np.uint64(48)).astype(np.uint16))
+            buckets.append((s >> _SHIFT).astype(np.int32))
             with np.errstate(over="ignore"):
                 t = mix(s ^ np.uint64(0xA5A5A5A5))
                 sums = [int(v.sum(dtype=np.uint64).view(np.int64)) for v in (s, mix(t + np.uint64(1)))]
-            rows.append((0, i, len(s), *sums, int(s[0].view(np.int64)), int(t.min().view(np.int64))))
+            rows.append((0, i, len(s), *sums, int(s[0].view(np.int64)), int(t.min().view(np.int64)), None))
         if buckets:
             counts += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
         yield pd.DataFrame(rows, columns=columns)
-    at = np.flatnonzero(counts)
-    zero = np.zeros(len(at), np.int64)
-    yield pd.DataFrame(dict(zip(columns, (zero + 1, at, counts[at], zero, zero, zero, zero), strict=True)))
+    for a in range(0, COUNT_BUCKETS, SLICE) if counts.any() else ():
+        rows = [(1, a, TaskContext.get().partitionId(), 0, 0, 0, 0, counts[a : a + SLICE].tobytes())]
+        yield pd.DataFrame(rows, columns=columns)
+
+
+PROFILE = "kind int, id long, n long, s1 long, s2 long, k0 long, k1 long, counts binary"
+
+
+def _counts(profile: DataFrame) -> np.ndarray:
+    """The corpus count of each bucket of shingles, summed in two steps; COUNT_BUCKETS numbers."""
+
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        total = sum((np.frombuffer(x, np.int64) for x in df["counts"]), np.zeros(SLICE, np.int64))
+        return pd.DataFrame({"id": df["id"].iloc[:1], "counts": [total.tobytes()]})
+
+    some = profile.where("kind = 1").select("id", (F.col("n") % 32).alias("part"), "counts").groupBy("id", "part").applyInPandas(add, "id long, counts binary")
+    out = np.zeros(COUNT_BUCKETS, np.int64)
+    for r in some.groupBy("id").applyInPandas(add, "id long, counts binary").toLocalIterator():
+        out[r["id"] : r["id"] + SLICE] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
 
 def _prefixes(counts: np.ndarray, percent: int):
@@ -224,7 +245,7 @@ def _prefixes(counts: np.ndarray, percent: int):
                 if not n:
                     continue
                 p = n - -(-percent * n // 100) + 1
-                c = counts[(s >> np.uint64(48)).astype(np.int64)]
+                c = counts[(s >> _SHIFT).astype(np.int64)]
                 if p < n:
                     # ties of the count at the cut go by hash, as s is sorted
                     cut = np.partition(c, p - 1)[p - 1]
@@ -300,14 +321,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    profile = staged(texts.mapInPandas(_profile, "kind int, id long, n long, s1 long, s2 long, k0 long, k1 long"))
+    profile = staged(texts.mapInPandas(_profile, PROFILE))
     if profile.where("kind = 0").groupBy("id").count().where("count > 1").limit(1).count():
         texts = staged(texts.groupBy("id").agg(F.max("text").alias("text")))
         profile = staged(texts.mapInPandas(_profile, profile.schema))
-    counts = np.zeros(COUNT_BUCKETS, np.int64)
-    for r in profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).toLocalIterator():
-        counts[r["id"]] = r["c"]
-    own = profile.where("kind = 0").drop("kind")
+    counts = _counts(profile)
+    own = profile.where("kind = 0").drop("kind", "counts")
     least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"), F.first("k0").alias("k0"), F.first("k1").alias("k1"))
     reps = staged(least.select(F.col("class_id").alias("id"), "n", "s1", "s2", "k0", "k1"))
     rep_texts = texts.join(reps.select("id"), "id", "left_semi")
