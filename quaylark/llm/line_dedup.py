@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import staged
+from quaylark.llm.common import join_checked, staged
 
 #: Buckets of the corpus count of tokens: a bound on what every task gets.
 BUCKETS = 1 << 16
+#: Up to so many ids are broadcast to pick their texts; with more, both sides are shuffled.
+IDS = 500_000
 #: xxhash64 of an empty word, which two spaces leave.
 EMPTY = -7444071767201028348
 WHITE = r"[\x20\x09-\x0D ]+"
@@ -85,7 +87,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = staged(pairs.distinct())
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no"))).distinct()
-    whole = staged(_exploded(texts.join(ids, "id", "left_semi")).join(named, ["id", "line_no"], "left_semi").select("id", "line_no", words(F.col("line")).alias("words")))
+    whole = staged(_exploded(join_checked(texts, ids, ["id"], "left_semi", IDS)).join(named, ["id", "line_no"], "left_semi").select("id", "line_no", words(F.col("line")).alias("words")))
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("line_no").alias("a_no"), F.col("words").alias("wa")), ["a", "a_no"]).join(whole.select(F.col("id").alias("b"), F.col("line_no").alias("b_no"), F.col("words").alias("wb")), ["b", "b_no"])
     shared = F.size(F.array_intersect("wa", "wb"))
     later = both.where(shared * 100 >= (F.size("wa") + F.size("wb") - shared) * percent).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first")).distinct().withColumn("later", F.lit(True))

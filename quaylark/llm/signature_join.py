@@ -25,19 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaylark.llm.common import components, mix, runs, shingle_set, small_batches, staged, words_of
+from quaylark.llm.common import components, join_checked, mix, runs, shingle_set, small_batches, staged, words_of
 
 #: Buckets of the corpus count of shingles: a bound on what is broadcast.
 COUNT_BUCKETS = 1 << 20
 #: Buckets of a row in which a task's counts travel.
 SLICE = 1 << 14
 #: Rows of a block that one task joins at once.
-BLOCK = 256
+BLOCK = 1024
 #: Minimum hashes for the first round.
 KEYS = 2
+#: Up to so many ids are broadcast to pick their texts; with more, both sides are shuffled.
+IDS = 500_000
 #: Up to so many documents of a prefix shingle meet pair by pair; more are a block.
 FEW = 64
-LEAF = 8
+LEAF = 32
 _SHIFT = np.uint64(64 - (COUNT_BUCKETS - 1).bit_length())
 
 
@@ -93,7 +95,7 @@ def tree_pairs(sets_x: list[np.ndarray], sets_y: list[np.ndarray] | None, percen
     sets_y None the pairs are those within sets_x."""
     largest = max(len(s) for s in [*sets_x, *(sets_y or [])])
     bits = 256
-    while bits < min(2 * largest, 8192):
+    while bits < min(2 * largest, 4096):
         bits *= 2
     x = SignatureTree(sets_x, bits)
     y = x if sets_y is None else SignatureTree(sets_y, bits)
@@ -190,7 +192,7 @@ def _with_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             rows = [(i, s.tobytes()) for i, s in _sets(df)]
             yield pd.DataFrame(rows, columns=["id", "shingles"])
 
-    return texts.join(ids, "id", "left_semi").mapInPandas(f, "id long, shingles binary")
+    return join_checked(texts, ids, ["id"], "left_semi", IDS).mapInPandas(f, "id long, shingles binary")
 
 
 def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = profile.where("kind = 0").drop("kind", "counts")
     least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"), F.first("k0").alias("k0"), F.first("k1").alias("k1"))
     reps = staged(least.select(F.col("class_id").alias("id"), "n", "s1", "s2", "k0", "k1"))
-    rep_texts = texts.join(reps.select("id"), "id", "left_semi")
+    rep_texts = join_checked(texts, reps.select("id"), ["id"], "left_semi", IDS)
 
     # round one: blocks by minimum hash; the chunks of a large block share its least document
     keys = reps.select("id", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"k{j}").alias("k")) for j in range(KEYS)])).alias("x")).select("id", F.xxhash64("x.j", "x.k").alias("block"))
@@ -351,7 +353,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks = _pair_tasks(few, percent).unionByName(_chunked(_distinct_blocks(open_.where(F.col("c") > FEW))))
     second = _links(staged(tasks), texts, percent)
 
-    links = staged(first.unionByName(second))
+    links = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     joined = components(links).select(F.col("node").alias("class_id"), "component")
     named_own = own.join(least.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"))
     return named_own.join(joined, "class_id", "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
