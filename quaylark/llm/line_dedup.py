@@ -85,9 +85,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no"))
     pairs = staged(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no"))).distinct()
-    whole = staged(_exploded(join_checked(texts, ids, ["id"], "left_semi", IDS)).join(named, ["id", "line_no"], "left_semi").select("id", "line_no", words(F.col("line")).alias("words")))
+    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
+    # lines are picked where their text is read, so only theirs travel
+    wanted = named.groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
+    picked = join_checked(texts, wanted, ["id"], "inner", IDS).select("id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    whole = staged(picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words")))
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("line_no").alias("a_no"), F.col("words").alias("wa")), ["a", "a_no"]).join(whole.select(F.col("id").alias("b"), F.col("line_no").alias("b_no"), F.col("words").alias("wb")), ["b", "b_no"])
     shared = F.size(F.array_intersect("wa", "wb"))
     later = both.where(shared * 100 >= (F.size("wa") + F.size("wb") - shared) * percent).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first")).distinct().withColumn("later", F.lit(True))
