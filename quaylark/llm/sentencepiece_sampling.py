@@ -104,7 +104,7 @@ class Model:
             self.edge[at], self.to[at] = e, t
         self.state_id, self.state_weight = np.full(len(states), -1), np.zeros(len(states))
         for p, (i, w) in self.weight.items():
-            self.state_id[states[p]], self.state_weight[states[p]] = i, w
+            self.state_id[states[p]], self.state_weight[states[p]] = i, math.log(w)
         self.deepest = max(map(len, self.weight))
 
     def fresh(self) -> None:
@@ -122,13 +122,14 @@ class Model:
         """For each text the first nodes of its words' lattices, which are built where they are new."""
         # the mark before a text stands for the space that decoding takes away
         words = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in words for w in ws}
-        if self.n_arcs + 6 * sum(map(len, new - self.start.keys())) > MOST_ARCS:
+        seen: set[str] = set().union(*words)
+        new = seen.difference(self.start)
+        if self.n_arcs + 6 * sum(map(len, new)) > MOST_ARCS:
             self.fresh()
-        new -= self.start.keys()
+            new = seen
         self._build([w for w in new if len(w) <= LONG], [w for w in new if len(w) > LONG])
-        at = self.start
-        return [np.fromiter((at[w] for w in ws), np.int64, len(ws)) for ws in words]
+        at = self.start.__getitem__
+        return [np.fromiter(map(at, ws), np.int64, len(ws)) for ws in words]
 
     def _build(self, short: list[str], long: list[str]) -> None:
         for group in ([short[i : i + 20_000] for i in range(0, len(short), 20_000)] if short else []) + [[w] for w in long]:
@@ -141,7 +142,7 @@ class Model:
         n = len(chars)
         ends = np.cumsum(sizes + 1) - 1
         distance = np.repeat(ends, sizes + 1) - np.arange(n)
-        # arcs (from, length, id, weight) by walking the trie from all slots at once
+        # arcs (from, length, id, log weight) by walking the trie from all slots at once
         live, state = np.flatnonzero(distance > 0), np.zeros(int(sizes.sum()), np.int64)
         found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
         single = np.zeros(n, bool)
@@ -170,19 +171,19 @@ class Model:
             spelt = [chr(c).encode("utf-8", "surrogatepass") for c in chars[odd].tolist()]
             places = -1 - np.arange(len(self.spelt), len(self.spelt) + len(odd))
             self.spelt += [tuple(self.bytes_[x] for x in b) for b in spelt]
-            found.append((odd, 1, places, np.array([self.byte_weight ** len(b) for b in spelt])))
+            found.append((odd, 1, places, np.array([len(b) * math.log(self.byte_weight) for b in spelt])))
         src = np.concatenate([f[0] for f in found])
         length = np.concatenate([np.full(len(f[0]), f[1]) for f in found])
-        ident, weight = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+        ident, log_w = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
         # the longest first: it mostly has most of the node's probability
         order = np.argsort(src * 64 - length, kind="stable")
-        src, dst, ident, weight = src[order], (src + length)[order], ident[order], weight[order]
+        src, dst, ident, log_w = src[order], (src + length)[order], ident[order], log_w[order]
         slots = np.flatnonzero(distance > 0)
         arc_at = np.searchsorted(src, slots)
         # sums from the right, in logarithms, all slots of a distance to the end at once
-        log_w, z = np.log(weight), np.zeros(n)
-        by = np.argsort(distance[src], kind="stable")
-        cuts = np.flatnonzero(np.diff(distance[src][by], prepend=-1))
+        z, far = np.zeros(n), distance[src].astype(np.int16 if n < 1 << 15 or len(words) > 1 else np.int64)
+        by = np.argsort(far, kind="stable")
+        cuts = np.flatnonzero(np.diff(far[by], prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
             part = by[a:b]
             x = log_w[part] + z[dst[part]]
@@ -239,7 +240,7 @@ class Model:
         n = self.lengths[ids]
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offsets[ids] - (ends - n), n)
-        text = self.flat[at].tobytes().decode("utf-8", "surrogatepass" if (self.flat[at] == 0xED).any() else "replace")
+        text = self.flat[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
