@@ -30,6 +30,8 @@ TRAIN_ROWS = 12_000
 #: At most so many learnt words, and stems.
 TERMS = 2_000
 STEM = 5
+#: Toxic documents that a word, or stem, must occur in.
+LEAST_WORDS, LEAST_STEMS = 3, 8
 
 THREAT = frozenset("kill hurt destroy beat shoot stab burn töten verletzen schlagen tuer frapper détruire matar golpear destruir".split())
 TARGET = frozenset("you your yours he she they them him her these those people du dich dein ihr sie euch tu toi ton vous ils elle tú usted ustedes ellos ella".split())
@@ -153,27 +155,37 @@ def learn(texts: list[str | None], toxic: list[int]) -> Grammar:
         return g
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     stems: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for t, k in zip(texts, toxic, strict=True):
+
+    def terms(t: str | None) -> tuple[set[str], set[str]]:
         own = {w for c in clauses((t or "").lower()) for w in c}
-        for w in own:
-            counts[w][k] += 1
-        for s in {w[:n] for w in own for n in range(STEM, min(len(w), 12))}:
-            stems[s][k] += 1
+        return own, {w[:n] for w in own for n in range(STEM, min(len(w), 12))}
+
+    # toxic documents first: only what they use often enough is counted in the others, to save memory
+    for t in (t for t, k in zip(texts, toxic, strict=True) if k):
+        for found, own in zip((counts, stems), terms(t), strict=True):
+            for w in own:
+                found[w][1] += 1
+    for found, least in ((counts, LEAST_WORDS), (stems, LEAST_STEMS)):
+        for w in [w for w, (_, yes) in found.items() if yes < least]:
+            del found[w]
+    for t in (t for t, k in zip(texts, toxic, strict=True) if not k):
+        for found, own in zip((counts, stems), terms(t), strict=True):
+            for w in own & found.keys():
+                found[w][0] += 1
     share = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
 
-    def chosen(found: dict[str, list[int]], least: int, odds: float) -> dict[str, float]:
+    def chosen(found: dict[str, list[int]], odds: float) -> dict[str, float]:
         ranked = []
         for w, (no, yes) in found.items():
-            if yes >= least:
-                z = math.log((yes + 0.3) / (no + 0.3)) - share
-                # the bound of the odds at about two standard errors
-                low = z - 2 * math.sqrt(1 / (yes + 0.3) + 1 / (no + 0.3)) if no else z - 2 * math.sqrt(1 / (yes + 0.3) + 1)
-                if low > odds:
-                    ranked.append((z, w))
+            z = math.log((yes + 0.3) / (no + 0.3)) - share
+            # the bound of the odds at about two standard errors
+            low = z - 2 * math.sqrt(1 / (yes + 0.3) + (1 / (no + 0.3) if no else 1))
+            if low > odds:
+                ranked.append((z, w))
         return {w: min(z, 6.0) / 3 for z, w in sorted(ranked, reverse=True)[:TERMS]}
 
-    g.words = {w: z for w, z in chosen(counts, 3, 0.7).items() if w not in TARGET | NEGATION | REPORT | THREAT}
-    g.stems = chosen(stems, 8, 0.9)
+    g.words = {w: z for w, z in chosen(counts, 0.7).items() if w not in TARGET | NEGATION | REPORT | THREAT}
+    g.stems = chosen(stems, 0.9)
     x = np.array([[min(a, 50.0), b, c, 1.0] for a, b, c in (evidence(t, g) for t in texts)])
     g.calibration = tuple(fit_logistic(x, y, ridge=1e-4).tolist())
     return g
