@@ -63,7 +63,7 @@ def test_groups(spark):
     assert by(g.group_count(df, 4), "events") == [2, 1, 0, 2]
     assert by(g.group_max(df, 4), "largest") == [3, 5, -math.inf, 20]
     s = g.frequency_stats(events(spark, [(1, 15), (4, 25), (4, 1), (4, 1), (4, 1)]), 5).first()
-    assert (s["mean_freq"], s["cluster_coeff"], s["variance_mean_ratio"]) == (1, 2, 3)
+    assert (s["mean_freq"], s["cluster_coeff"], s["variance_mean_ratio"]) == pytest.approx((1, 2, 3))
 
 
 def test_combine(spark):
