@@ -4,7 +4,8 @@ A line's tokens are its distinct words, as written, between spaces. Lines with e
 first line; only classes are joined. Tokens are ordered by rarity: the counts of all tokens of the
 corpus by hashed bucket, least first, ties by hash. Any two sets at the threshold share a token of the
 prefixes, so lines meet there; length, position and a 64-bit signature drop most pairs in the join's
-condition, and the rest are verified on the words themselves. DataFrame functions only.
+condition. Every match is verified on the words themselves: each line against its likeliest earlier
+candidate, then lines that it fails against all others. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ BUCKETS = 1 << 16
 IDS = 500_000
 #: xxhash64 of an empty word, which two spaces leave.
 EMPTY = -7444071767201028348
-WHITE = r"[\x20\x09-\x0D ]+"
+#: The distinct upper 16 bits of the hashes of words.
+SKETCH = "array_distinct(transform(words, w -> cast(shiftright(xxhash64(w), 48) as short)))"
 
 
 def words(line: Column) -> Column:
@@ -49,6 +51,27 @@ def _exploded(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _beside(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of both lines; one line's travel with the pair, the other's wait there."""
+    for side in "ab":
+        line = whole.select(F.col("id").alias(side), F.col("line_no").alias(f"{side}_no"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        pairs = pairs.join(line, [side, f"{side}_no"])
+    return pairs
+
+
+def _likely(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can match by their words' 16-bit hashes: a hash that one line lacks is a word that it lacks."""
+    least = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    lacks_b, lacks_a = F.size(F.array_except("a_sketch", "b_sketch")), F.size(F.array_except("b_sketch", "a_sketch"))
+    return _beside(pairs, whole, "n", "sketch").where((F.col("a_n") - lacks_b >= least) & (F.col("b_n") - lacks_a >= least)).select("a", "a_no", "b", "b_no")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(b, b_no) once, of pairs whose words match."""
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    return _beside(pairs, whole, "n", "words").where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * percent).select("b", "b_no").distinct()
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
     """(id, line_no) of every line with an earlier match, line_no from 0; earlier is by (id, line_no).
 
@@ -83,16 +106,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (F.col("x.n") - F.bit_count(F.col("x.bits").bitwiseAND(F.bitwise_not("y.bits"))) >= least)
         & (F.col("y.n") - F.bit_count(F.col("y.bits").bitwiseAND(F.bitwise_not("x.bits"))) >= least)
     )
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no"))
-    pairs = staged(pairs.distinct())
+    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no"), apart.cast("int").alias("apart"))
+    pairs = staged(pairs.groupBy("a", "a_no", "b", "b_no").agg(F.first("apart").alias("apart"), F.count(F.lit(1)).cast("int").alias("shared")))
     named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
     # lines are picked where their text is read, so only theirs travel
     wanted = named.groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
     picked = join_checked(texts, wanted, ["id"], "inner", IDS).select("id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    whole = staged(picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words")))
-    both = pairs.join(whole.select(F.col("id").alias("a"), F.col("line_no").alias("a_no"), F.col("words").alias("wa")), ["a", "a_no"]).join(whole.select(F.col("id").alias("b"), F.col("line_no").alias("b_no"), F.col("words").alias("wb")), ["b", "b_no"])
-    shared = F.size(F.array_intersect("wa", "wb"))
-    later = both.where(shared * 100 >= (F.size("wa") + F.size("wb") - shared) * percent).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first")).distinct().withColumn("later", F.lit(True))
+    whole = staged(picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words")).withColumn("n", F.size("words")).withColumn("sketch", F.expr(SKETCH)))
+    # one match is enough: each line tries its likeliest earlier one, and only those it fails try the rest,
+    # so that words of a group of variants travel once a line, not once a pair
+    likeliest = pairs.groupBy("b", "b_no").agg(F.min(F.struct("apart", -F.col("shared"), "a", "a_no")).alias("x")).select("x.a", "x.a_no", "b", "b_no")
+    matched = staged(_verified(likeliest, whole, percent))
+    rest = pairs.join(matched, ["b", "b_no"], "left_anti").join(likeliest, ["a", "a_no", "b", "b_no"], "left_anti")
+    later = matched.unionByName(_verified(_likely(rest, whole, percent), whole, percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
     # all lines of a class whose first line goes, and all but the first of others
     goes = classes.join(later, "first", "left").where("later or copies > 1").select("set", "n", "first", F.coalesce("later", F.lit(False)).alias("all"))
     out = sets.select("id", "line_no", "set", "n").join(goes, ["set", "n"]).where(F.col("all") | (F.struct("id", "line_no") > F.col("first")))
