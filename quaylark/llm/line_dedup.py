@@ -67,9 +67,12 @@ def _likely(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(b, b_no) once, of pairs whose words match."""
+    """(b, b_no) once, of pairs whose words match. Pairs are few beside the lines of whole: only their lines' words travel."""
+    pairs = staged(_likely(pairs, whole, percent))
+    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
+    lines = join_checked(whole.select("id", "line_no", "n", "words"), named.distinct(), ["id", "line_no"], "left_semi", IDS)
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    return _beside(pairs, whole, "n", "words").where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * percent).select("b", "b_no").distinct()
+    return _beside(pairs, lines, "n", "words").where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * percent).select("b", "b_no").distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
@@ -118,8 +121,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # so that words of a group of variants travel once a line, not once a pair
     likeliest = pairs.groupBy("b", "b_no").agg(F.min(F.struct("apart", -F.col("shared"), "a", "a_no")).alias("x")).select("x.a", "x.a_no", "b", "b_no")
     matched = staged(_verified(likeliest, whole, percent))
-    rest = pairs.join(matched, ["b", "b_no"], "left_anti").join(likeliest, ["a", "a_no", "b", "b_no"], "left_anti")
-    later = matched.unionByName(_verified(_likely(rest, whole, percent), whole, percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
+    rest = join_checked(pairs, matched, ["b", "b_no"], "left_anti", IDS).select("a", "a_no", "b", "b_no")
+    later = matched.unionByName(_verified(rest, whole, percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
     # all lines of a class whose first line goes, and all but the first of others
     goes = classes.join(later, "first", "left").where("later or copies > 1").select("set", "n", "first", F.coalesce("later", F.lit(False)).alias("all"))
     out = sets.select("id", "line_no", "set", "n").join(goes, ["set", "n"]).where(F.col("all") | (F.struct("id", "line_no") > F.col("first")))
