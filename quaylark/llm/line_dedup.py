@@ -3,7 +3,7 @@
 A line's tokens are its distinct words, as written, between spaces. Lines with equal sets are one class, shown by its
 first line; only classes are joined. Tokens are ordered by rarity: the counts of all tokens of the
 corpus by hashed bucket, least first, ties by hash. Any two sets at the threshold share a token of the
-prefixes, so lines meet there; length, position and a 64-bit signature drop most pairs in the join's
+prefixes, so lines meet there; length, position and a 128-bit parity signature drop most pairs in the join's
 condition. Every match is verified on the words themselves: each line against its likeliest earlier
 candidate, then lines that it fails against all others. DataFrame functions only.
 """
@@ -95,21 +95,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of fewer words than joined, only equal sets match
     joined = -(-percent // (100 - percent))
     prefix = F.when(n >= joined, F.slice("keys", 1, (n - need + 1).cast("int")))
-    bits = F.expr("aggregate(keys, 0L, (a, k) -> a | shiftleft(1L, cast(k & 63 as int)))")
-    sets = staged(lines.select("id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set"), prefix.alias("prefix"), F.when(n >= joined, bits).alias("bits"))).where("n > 0")
+    # parities don't fill up with long lines: a bit in which two differ is a word that one lacks
+    low, high = (F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft({half}, cast(k & 63 as int)))") for half in ("shiftright(k, 6) & 1", "1 - (shiftright(k, 6) & 1)"))
+    sets = staged(lines.select("id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set"), prefix.alias("prefix"), F.when(n >= joined, low).alias("low"), F.when(n >= joined, high).alias("high"))).where("n > 0")
     where = F.struct("id", "line_no")
-    classes = staged(sets.groupBy("set", "n").agg(F.min(where).alias("first"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
-    slim = classes.where("prefix is not null").select("n", "bits", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("at", "token"))
+    classes = staged(sets.groupBy("set", "n").agg(F.min(where).alias("first"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("high").alias("high"), F.count(F.lit(1)).alias("copies")))
+    slim = classes.where("prefix is not null").select("n", "low", "high", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("at", "token"))
     x, y = slim.alias("x"), slim.alias("y")
     least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
     close = (
         (F.struct("x.id", "x.line_no") < F.struct("y.id", "y.line_no"))
         & (F.least(F.col("x.n"), F.col("y.n")) * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * percent)
         & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least)
-        & (F.col("x.n") - F.bit_count(F.col("x.bits").bitwiseAND(F.bitwise_not("y.bits"))) >= least)
-        & (F.col("y.n") - F.bit_count(F.col("y.bits").bitwiseAND(F.bitwise_not("x.bits"))) >= least)
+        & (apart <= F.col("x.n") + F.col("y.n") - 2 * least)
     )
-    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no"), apart.cast("int").alias("apart"))
     pairs = staged(pairs.groupBy("a", "a_no", "b", "b_no").agg(F.first("apart").alias("apart"), F.count(F.lit(1)).cast("int").alias("shared")))
     named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
