@@ -3,9 +3,9 @@
 A line's tokens are its distinct words, as written, between spaces. Lines with equal sets are one class, shown by its
 first line; only classes are joined. Tokens are ordered by rarity: the counts of all tokens of the
 corpus by hashed bucket, least first, ties by hash. Any two sets at the threshold share a token of the
-prefixes, so lines meet there; length, position and a 128-bit parity signature drop most pairs in the join's
-condition. Every match is verified on the words themselves: each line against its likeliest earlier
-candidate, then lines that it fails against all others. DataFrame functions only.
+prefixes, so lines meet there; length, position and a 64-bit parity signature drop most pairs in the join's
+condition. Every match is verified on the words themselves: each line against the first lines of its
+prefix tokens, then lines that match none of those against all others. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -51,6 +51,32 @@ def _exploded(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _close(percent: int) -> Column:
+    """Whether lines x and y, with n words, a parity and a shared token at a place, can match, x the earlier."""
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    return (
+        (F.struct("x.id", "x.line_no") < F.struct("y.id", "y.line_no"))
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least)
+        & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.n") + F.col("y.n") - 2 * least)
+    )
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The distinct pairs of x and y, written."""
+    return staged(met.select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no")).distinct())
+
+
+def _picked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, line_no, words, n, sketch) of the lines in pairs: picked where their text is read, so only they travel."""
+    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
+    wanted = named.groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
+    picked = join_checked(texts, wanted, ["id"], "inner", IDS).select("id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    picked = picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words"))
+    # a row that repeats an id has lines of the same numbers: all of them stand for the number
+    return staged(picked.withColumn("n", F.size("words")).withColumn("sketch", F.expr(SKETCH)))
+
+
 def _beside(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
     """pairs with columns of both lines; one line's travel with the pair, the other's wait there."""
     for side in "ab":
@@ -95,34 +121,23 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of fewer words than joined, only equal sets match
     joined = -(-percent // (100 - percent))
     prefix = F.when(n >= joined, F.slice("keys", 1, (n - need + 1).cast("int")))
-    # parities don't fill up with long lines: a bit in which two differ is a word that one lacks
-    low, high = (F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft({half}, cast(k & 63 as int)))") for half in ("shiftright(k, 6) & 1", "1 - (shiftright(k, 6) & 1)"))
-    sets = staged(lines.select("id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set"), prefix.alias("prefix"), F.when(n >= joined, low).alias("low"), F.when(n >= joined, high).alias("high"))).where("n > 0")
+    # a parity doesn't fill up with long lines: a bit in which two differ is a word that one lacks
+    bits = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))")
+    sets = staged(lines.select("id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set"), prefix.alias("prefix"), F.when(n >= joined, bits).alias("bits"))).where("n > 0")
     where = F.struct("id", "line_no")
-    classes = staged(sets.groupBy("set", "n").agg(F.min(where).alias("first"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("high").alias("high"), F.count(F.lit(1)).alias("copies")))
-    slim = classes.where("prefix is not null").select("n", "low", "high", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("at", "token"))
-    x, y = slim.alias("x"), slim.alias("y")
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
-    close = (
-        (F.struct("x.id", "x.line_no") < F.struct("y.id", "y.line_no"))
-        & (F.least(F.col("x.n"), F.col("y.n")) * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * percent)
-        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least)
-        & (apart <= F.col("x.n") + F.col("y.n") - 2 * least)
-    )
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no"), apart.cast("int").alias("apart"))
-    pairs = staged(pairs.groupBy("a", "a_no", "b", "b_no").agg(F.first("apart").alias("apart"), F.count(F.lit(1)).cast("int").alias("shared")))
-    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
-    # lines are picked where their text is read, so only theirs travel
-    wanted = named.groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
-    picked = join_checked(texts, wanted, ["id"], "inner", IDS).select("id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    whole = staged(picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words")).withColumn("n", F.size("words")).withColumn("sketch", F.expr(SKETCH)))
-    # one match is enough: each line tries its likeliest earlier one, and only those it fails try the rest,
-    # so that words of a group of variants travel once a line, not once a pair
-    likeliest = pairs.groupBy("b", "b_no").agg(F.min(F.struct("apart", -F.col("shared"), "a", "a_no")).alias("x")).select("x.a", "x.a_no", "b", "b_no")
-    matched = staged(_verified(likeliest, whole, percent))
-    rest = join_checked(pairs, matched, ["b", "b_no"], "left_anti", IDS).select("a", "a_no", "b", "b_no")
-    later = matched.unionByName(_verified(rest, whole, percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
+    classes = staged(sets.groupBy("set", "n").agg(F.min(where).alias("first"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
+    slim = classes.where("prefix is not null").select("n", "bits", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("at", "token"))
+    # one match is enough: each line meets the first line of each of its tokens, and only lines that match none
+    # of those meet the others, so that a group of variants doesn't meet pair by pair
+    firsts = slim.groupBy("token").agg(F.min(F.struct("id", "line_no", "n", "bits", "at")).alias("x"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    others = staged(slim.join(firsts, "token").where((F.col("id") != F.col("x.id")) | (F.col("line_no") != F.col("x.line_no"))))
+    pairs = _pairs(others.select("x", F.struct("id", "line_no", "n", "bits", "at").alias("y")).where(_close(percent)))
+    matched = staged(_verified(pairs, _picked(texts, pairs), percent))
+    x = others.where("lines > 2").select("token", F.struct("id", "line_no", "n", "bits", "at").alias("x"))
+    y = join_checked(others.where("lines > 2").drop("x"), matched.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")), ["id", "line_no"], "left_anti", IDS)
+    y = y.select(F.col("token").alias("other"), F.struct("id", "line_no", "n", "bits", "at").alias("y"))
+    pairs = _pairs(x.join(y, (F.col("token") == F.col("other")) & _close(percent)))
+    later = matched.unionByName(_verified(pairs, _picked(texts, pairs), percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
     # all lines of a class whose first line goes, and all but the first of others
     goes = classes.join(later, "first", "left").where("later or copies > 1").select("set", "n", "first", F.coalesce("later", F.lit(False)).alias("all"))
     out = sets.select("id", "line_no", "set", "n").join(goes, ["set", "n"]).where(F.col("all") | (F.struct("id", "line_no") > F.col("first")))
