@@ -2,8 +2,10 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. Each level's good rate gets a
 beta prior centred at its parent's posterior mean, the root's at the overall rate; the prior's weight is
-fitted at each level by moments. A page without a rule is blocked if even the upper bound of its host's
-posterior good rate stays below the threshold, so sparse hosts are not blocked on little evidence.
+fitted at each level by moments. A host without labels backs off: its mean is its domain's, of an unlabelled
+domain the suffix's, of an unlabelled suffix the overall rate, with the host level's prior weight. A page
+without a rule is blocked if even the upper bound of its host's posterior good rate stays below the
+threshold, so sparse hosts are not blocked on little evidence.
 """
 
 from __future__ import annotations
@@ -59,10 +61,14 @@ def _weight(levels: DataFrame, parent: str) -> float:
     return float(min(max(1 / rho - 1 if rho > 0 else 1000.0, 1.0), 1000.0))
 
 
-def host_reputation(labelled: DataFrame, z: float = 2.0) -> tuple[DataFrame, float]:
-    """(host, domain, suffix, n, mean, low, high) for each host of labelled (host, good 0 or 1), and the
-    overall rate. mean is the posterior's, low and high lie z of its standard deviations away."""
-    base = labelled.where("host is not null and good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+def host_reputation(labelled: DataFrame, z: float = 2.0, hosts: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """(host, domain, suffix, n, mean, low, high) for each host of labelled (host, good 0 or 1) and of
+    hosts (host, may repeat), and the overall rate. mean is the posterior's, low and high lie z of its
+    standard deviations away. Hosts without labels have n = 0, so each level's mean is its parent's."""
+    counted = labelled.where("host is not null and good is not null").select("host", F.lit(1).alias("n"), "good")
+    if hosts is not None:
+        counted = counted.unionByName(hosts.where("host is not null").select("host", F.lit(0).alias("n"), F.lit(0).alias("good")))
+    base = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     base = staged(base.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     total = base.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = ((total["good"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
@@ -84,14 +90,16 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     """(page_id, host, path, rule, verdict, reputation) for each row of pages.
 
     outcomes has outcome_id and good (0 or 1), of some pages. A null url, or one without ://, has an
-    empty host and path; it is allowed, as are hosts without labelled pages. Ids may be null or repeat
-    and rows stay as many as they are; an id labelled twice counts each label. With no outcomes at all
-    only rules block. Other columns are ignored. reputation is the host's posterior mean."""
+    empty host and path; it is allowed. Hosts without labelled pages are judged by their domain, suffix or
+    the overall rate. Ids may be null or repeat and rows stay as many as they are; an id labelled twice
+    counts each label. With no outcomes at all only rules block. Other columns are ignored. reputation is
+    the host's posterior mean."""
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labels = outcomes.select(F.col(outcome_id).alias("page_id"), F.col("good"))
-    known = base.where("host <> ''").select("page_id", "host").join(labels, "page_id").select("host", "good")
-    host, overall = host_reputation(known, z)
+    named = base.where("host <> ''").select("page_id", "host")
+    known = named.join(labels, "page_id").select("host", "good")
+    host, overall = host_reputation(known, z, named.select("host"))
     out = join_checked(base, host.select("host", "mean", "high"), ["host"])
     fit = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("high") < threshold, "block").otherwise("allow")

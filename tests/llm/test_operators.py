@@ -176,6 +176,38 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0), outcomes, rules).count() == 0
 
 
+def test_urls_back_off(spark):
+    """Hosts without labels: of a bad domain, of a good one, of a bad suffix, of a new one, and no host."""
+    rate = {"bad": 1, **{f"ok{d}": 16 for d in range(19)}}
+    known = [(f"h{h}.{d}.com", int(i < good)) for d, good in rate.items() for h in range(10) for i in range(20)]
+    known += [(f"h{h}.b{d}.zip", 0) for d in range(20) for h in range(5) for _ in range(20)]
+    new = ["new.bad.com", "new.ok1.com", "x.new.com", "x.new.zip", "x.new.dev", ""]
+    urls = [f"http://{h}/x" for h, _ in known] + [f"http://{h}/x" if h else "none" for h in new]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(known)], "doc_id long, good int")
+    got = {r["host"]: r for r in judge_urls(pages, outcomes, []).collect()}
+    assert [got[h]["verdict"] for h in new] == ["block", "allow", "allow", "block", "allow", "allow"]
+
+    def weight(groups):
+        """groups: (n, good, parent's mean)."""
+        s = sum((g / n - p) ** 2 * n for n, g, p in groups)
+        noise, more = sum(p * (1 - p) for _, _, p in groups), sum(p * (1 - p) * (n - 1) for n, _, p in groups)
+        return min(max(more / (s - noise) - 1, 1.0), 1000.0) if s > noise else 1000.0
+
+    overall = (sum(g for _, g in known) + 1) / (len(known) + 2)
+    suffixes, domains = {}, {}
+    for host, g in known:
+        for level, key in ((suffixes, host.split(".")[-1]), (domains, host.split(".", 1)[1])):
+            n, good = level.get(key, (0, 0))
+            level[key] = (n + 1, good + g)
+    w = weight([(n, g, overall) for n, g in suffixes.values()])
+    suffixes = {k: (g + w * overall) / (n + w) for k, (n, g) in suffixes.items()}
+    w = weight([(n, g, suffixes[k.split(".")[-1]]) for k, (n, g) in domains.items()])
+    domains = {k: (g + w * suffixes[k.split(".")[-1]]) / (n + w) for k, (n, g) in domains.items()}
+    want = [domains["bad.com"], domains["ok1.com"], suffixes["com"], suffixes["zip"], overall, overall]
+    assert [got[h]["reputation"] for h in new] == pytest.approx(want)
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = [" ".join(r.choices("abc defg hij klmno pq rst uvw".split(), k=40)) + "." for _ in range(60)]
