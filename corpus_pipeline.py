@@ -14,7 +14,7 @@ from quaylark.llm.common import staged, table
 from quaylark.llm.hilbert_packing import pack
 from quaylark.llm.line_dedup import without_duplicate_lines
 from quaylark.llm.quality import score_quality
-from quaylark.llm.queries import held_out
+from quaylark.llm.queries import NEAR_LINES, held_out
 from quaylark.llm.signature_join import jaccard_components
 from quaylark.llm.toxicity import train, without_toxic
 
@@ -32,7 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier match go, and documents of which nothing is left."""
-    return without_duplicate_lines(docs)
+    return without_duplicate_lines(docs, percent=NEAR_LINES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

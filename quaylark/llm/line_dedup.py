@@ -1,6 +1,6 @@
 """Exact set-similarity join over the lines of all documents; later matches go.
 
-A line's tokens are its distinct words, as written, between spaces. Lines with equal sets are one class, shown by its
+A line's tokens are its distinct words, as written, between ASCII white space. Lines with equal sets are one class, shown by its
 first line; only classes are joined. Tokens are ordered by rarity: the counts of all tokens of the
 corpus by hashed bucket, least first, ties by hash. Any two sets at the threshold share a token of the
 prefixes, so lines meet there; length, position and a 64-bit parity signature drop most pairs in the join's
@@ -25,6 +25,12 @@ EMPTY = -7444071767201028348
 SKETCH = "array_distinct(transform(words, w -> cast(shiftright(xxhash64(w), 48) as short)))"
 
 
+def _spaced(text: Column) -> Column:
+    """text with white space other than the newline as spaces; most texts hold none and stay as they are."""
+    other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.when(other, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+
+
 def words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
@@ -104,11 +110,11 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
     """(id, line_no) of every line with an earlier match, line_no from 0; earlier is by (id, line_no).
 
-    Lines are cut at newlines. A match shares at least percent of both lines' distinct words (Jaccard),
+    Lines are cut at newlines, words at other ASCII white space. A match shares at least percent of both lines' distinct words (Jaccard),
     whether or not the earlier line has gone itself. Lines without a word match nothing. Null texts
     have no lines; rows with a null id take no part; rows that repeat an id are numbered alike, and a
     line of theirs goes if it does in one of them. Other columns are ignored."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _spaced(F.col(text_col).cast("string")).alias("text")).where("id is not null and text is not null")
     ranks = _ranks(texts)
 
     # hashes first: distinct on longs is cheaper than on words, and each word is hashed once

@@ -19,6 +19,9 @@ from quaylark.llm.url_reputation import judge_urls
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
+#: Percent of distinct words that near lines share: a line of nine words with one replaced still matches.
+NEAR_LINES = 80
+
 
 def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0
@@ -42,7 +45,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "line_no")
+    return duplicate_lines(table(spark, sf_dir, "documents"), percent=NEAR_LINES).select(F.col("id").alias("doc_id"), "line_no")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

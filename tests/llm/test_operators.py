@@ -7,13 +7,15 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quaylark.llm import licenses, toxicity
-from quaylark.llm.common import components
+from quaylark.llm.common import components, table
 from quaylark.llm.hilbert_packing import encoder, hilbert, pack, tail_lengths, token_ids
 from quaylark.llm.kdtree_topk import top_k
 from quaylark.llm.line_dedup import duplicate_lines, without_duplicate_lines
 from quaylark.llm.piecewise_hash import distances, edited, fingerprint, fingerprints, likeness
 from quaylark.llm.quality import score_quality
+from quaylark.llm.queries import op4_line_dedup
 from quaylark.llm.sentencepiece_sampling import Model, decode, default_path, sample_segmentations, sample_texts
 from quaylark.llm.signature_join import jaccard_components
 from quaylark.llm.url_reputation import judge_urls
@@ -126,6 +128,21 @@ def test_lines(spark, texts):
             assert i not in kept
 
 
+def test_lines_white_space(spark):
+    df = docs(spark, ["one two three\r\nfour five", "one\ttwo  three\nfour five\x0b\x0c", "one two\nfourfive", "\t\r\n \x0b"])
+    assert {(r["id"], r["line_no"]) for r in duplicate_lines(df).collect()} == {(1, 0), (1, 1)}
+    assert {r["doc_id"]: r["text"] for r in without_duplicate_lines(df).collect()} == {0: "one two three\r\nfour five", 2: "one two\nfourfive", 3: "\t\r\n \x0b"}
+
+
+def test_lines_in_production(spark, tmp_path):
+    """One word of nine replaced, and one of eight."""
+    nine, eight = "a b c d e f g h i", "q r s t u v w x"
+    docs(spark, [f"{nine}\n{eight}", f"{nine[:-1]}z\n{eight[:-1]}z\nown"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["doc_id"], r["line_no"]) for r in op4_line_dedup(spark, str(tmp_path)).collect()] == [(1, 0)]
+    kept = corpus_pipeline.line_dedup(spark, table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()}[1] == "q r s t u v w z\nown"
+
+
 def test_licenses(spark):
     texts = ["Prose.\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "er kommt mit der Bahn", None, "", "Licensed under the Foo Public License.", "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0."]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
