@@ -10,13 +10,17 @@ threshold, so sparse hosts are not blocked on little evidence.
 
 from __future__ import annotations
 
+from contextlib import suppress
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylark.llm.common import ascii_lower, join_checked, staged
 
-#: Suffixes of two labels; a registered domain has one label more than its suffix.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: The public suffix list (publicsuffix.org, MPL 2.0), its private section too.
+SUFFIX_LIST = Path(__file__).with_name("public_suffix_list.dat")
 
 
 def host_of(url: Column) -> Column:
@@ -29,13 +33,39 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*two_label), last_two).otherwise(F.substring_index(host, ".", -1))
-
-
-def domain_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*two_label), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+@cache
+def suffix_rules() -> frozenset[str]:
+    """The rules of the list as written, and those of other alphabets in ASCII (xn--) too."""
+    rules = {x.split()[0] for x in SUFFIX_LIST.read_text("utf-8").splitlines() if x.strip() and not x.startswith("//")}
+    plain = set()
+    for x in rules:
+        mark = x[: len(x) - len(x.lstrip("!*."))]
+        with suppress(UnicodeError):
+            plain.add(mark + x[len(mark) :].encode("idna").decode())
+    return frozenset(rules | plain)
+
+
+def split_host(host: str, rules: frozenset[str]) -> tuple[str, str]:
+    """(domain, suffix). The suffix is by the longest rule that fits, * standing for a label; one with !
+    wins and its suffix is a label less; without any rule it is the last label. The domain has a label
+    more than the suffix, where there is one."""
+    labels = host.split(".")
+    n = 1
+    for i in range(len(labels)):
+        rest = ".".join(labels[i:])
+        if "!" + rest in rules:
+            n = len(labels) - i - 1
+            break
+        if rest in rules or ".".join(["*", *labels[i + 1 :]]) in rules:
+            n = len(labels) - i
+            break
+    return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+
+def domain_and_suffix(host: Column) -> Column:
+    """struct(domain, suffix). The list travels with the function: executors read no file."""
+    rules = suffix_rules()
+    return F.udf(lambda x: split_host(x, rules), "domain string, suffix string")(host)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -69,7 +99,7 @@ def host_reputation(labelled: DataFrame, z: float = 2.0, hosts: DataFrame | None
     if hosts is not None:
         counted = counted.unionByName(hosts.where("host is not null").select("host", F.lit(0).alias("n"), F.lit(0).alias("good")))
     base = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    base = staged(base.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    base = staged(base.withColumn("parts", domain_and_suffix(F.col("host"))).select("host", "n", "good", "parts.domain", "parts.suffix"))
     total = base.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = ((total["good"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
 

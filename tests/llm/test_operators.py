@@ -18,7 +18,7 @@ from quaylark.llm.quality import score_quality
 from quaylark.llm.queries import op4_line_dedup
 from quaylark.llm.sentencepiece_sampling import Model, decode, default_path, sample_segmentations, sample_texts
 from quaylark.llm.signature_join import jaccard_components
-from quaylark.llm.url_reputation import judge_urls
+from quaylark.llm.url_reputation import host_reputation, judge_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, host string, id string"
 ODD = [None, "", "   ", "one", "a b c d e f g", "a b c d e f g", "A b c d e f g h\nsecond line here", "ß漢😀 x\n\n\ty  z", "word " * 30_000]
@@ -225,6 +225,13 @@ def test_urls_back_off(spark):
     assert [got[h]["reputation"] for h in new] == pytest.approx(want)
 
 
+def test_suffixes(spark):
+    """Listed, private, wildcard, exception, other alphabet, unlisted, and hosts that are suffixes."""
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.co.nz": ("y.co.nz", "co.nz"), "me.com.mx": ("me.com.mx", "com.mx"), "www.me.github.io": ("me.github.io", "github.io"), "www.example.com": ("example.com", "com"), "a.b.foo.ck": ("b.foo.ck", "foo.ck"), "a.www.ck": ("www.ck", "ck"), "a.b.xn--p1ai": ("b.xn--p1ai", "xn--p1ai"), "a.b.unlisted": ("b.unlisted", "unlisted"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost")}
+    found, _ = host_reputation(spark.createDataFrame([(h, 1) for h in want], "host string, good int"))
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in found.collect()} == want
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = [" ".join(r.choices("abc defg hij klmno pq rst uvw".split(), k=40)) + "." for _ in range(60)]
