@@ -52,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
-#: Trained classifiers and the tokenizer aren't SQL; the pipeline is tested against brute force.
+#: Trained classifiers and the tokenizer aren't SQL; line_dedup and near_duplicates are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -1,5 +1,6 @@
 import corpus_pipeline as p
 from quaylark.llm.hilbert_packing import encoder, token_ids
+from tests.llm.test_operators import brute_components, docs, near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,35 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def brute_line_texts(texts, percent=80):
+    """Texts without the lines that have an earlier match; None where lines went and no word stays."""
+    lines = [(i, k, x, set(x.split())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    gone = {(i, k) for q, (i, k, _, s) in enumerate(lines) if s and any(r and 100 * len(r & s) >= percent * len(r | s) for *_, r in lines[:q])}
+    out = []
+    for i, t in enumerate(texts):
+        kept = "\n".join(x for j, k, x, _ in lines if j == i and (j, k) not in gone)
+        out.append(t if not any(j == i for j, _ in gone) else kept if kept.strip() else None)
+    return out
+
+
+def fixture():
+    """Documents of near lines, then near documents, then one of nothing but earlier lines."""
+    texts = ["\n".join(near_copies(s, 8)) for s in range(8)] + near_copies(1, 40)
+    return [*texts, texts[0], ""]
+
+
+def test_line_stage(spark):
+    texts = fixture()
+    want = {i: t for i, t in enumerate(brute_line_texts(texts)) if t is not None}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in p.line_dedup(spark, docs(spark, texts), SF).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()} and len(want) < len(texts)
+
+
+def test_near_duplicates_stage(spark):
+    texts = fixture()
+    roots, _ = brute_components(texts)
+    want = {(i, t) for i, t in enumerate(texts) if roots[i] == i}
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs(spark, texts), SF).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(texts)
