@@ -30,20 +30,39 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, train(docs, table(spark, sf_dir, "labels").where(~held_out())))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str] | None:
+    """Where a doc_id repeats: docs with a long column that tells its rows apart, in the order of (doc_id,
+    text), and that column's name; null doc_ids keep a null. None where no doc_id repeats."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return None
+    names = {c.lower() for c in docs.columns}
+    key = next(x for x in (f"row{i}" for i in range(10**6)) if x not in names)
+    # ids rise along the sorted partitions; written, as they are not drawn twice alike
+    rows = docs.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id())
+    return staged(rows.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(key)))), key
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with an earlier match go, and documents of which nothing is left."""
+    """Lines with an earlier match go, and documents of which nothing is left. Rows that repeat a doc_id
+    are documents of their own, earlier by text."""
+    if found := keyed(docs):
+        rows, key = found
+        return without_duplicate_lines(rows, id_col=key, percent=NEAR_LINES).drop(key)
     return without_duplicate_lines(docs, percent=NEAR_LINES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; of rows that repeat an id, one."""
-    found = jaccard_components(docs)
-    out = docs.join(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        w = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"))
+    """The document with the smallest id of each component stays. Rows that repeat a doc_id are documents
+    of their own, the smallest text first; of rows with the same id and text, one stays."""
+    found = keyed(docs)
+    rows, key = found or (docs, "doc_id")
+    gone = jaccard_components(rows, id_col=key).where("component_id <> id").select(F.col("id").alias(key)).distinct()
+    out = rows.join(gone, key, "left_anti")
+    if found:
+        w = Window.partitionBy("doc_id", "text").orderBy(key)
         first = out.where("doc_id is not null").withColumn("row_number", F.row_number().over(w)).where("row_number = 1").select(*docs.columns)
-        out = first.unionByName(out.where("doc_id is null"))
-    return out
+        return first.unionByName(out.where("doc_id is null").select(*docs.columns))
+    return out.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

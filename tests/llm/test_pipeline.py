@@ -57,3 +57,17 @@ def test_near_duplicates_stage(spark):
     want = {(i, t) for i, t in enumerate(texts) if roots[i] == i}
     got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs(spark, texts), SF).collect()]
     assert sorted(got) == sorted(want) and len(want) < len(texts)
+
+
+def test_stages_repeated_ids(spark):
+    """Rows that repeat an id with texts of their own, linked or not, and as exact copies; null ids."""
+    one, two, three = "a b c d e f g h", "q r s t u v w x", "one two three four five"
+    ids, texts = [1, 1, 2, 3, 3, 4, 4, None, None], [f"{one}\nx y", f"{two}\n{one}", three, one, "i j k l m", "", "", one, one]
+    lines = p.line_dedup(spark, docs(spark, texts, ids), SF)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.collect())
+    assert got == sorted([(0, one), (0, one), (1, f"{one}\nx y"), (1, two), (2, three), (3, "i j k l m"), (4, ""), (4, "")])
+    texts = [one, two, three, two, "i j k l m", "", "", one, one]
+    near = p.near_duplicates(spark, docs(spark, texts, ids), SF)
+    assert near.columns == docs(spark, texts, ids).columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in near.collect())
+    assert got == sorted([(0, one), (0, one), (1, one), (1, two), (2, three), (3, "i j k l m"), (4, "")])
