@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,9 +98,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             pend.clear()
             return
         ids, vectors = np.concatenate([x for x, _ in pend]), np.concatenate([x for _, x in pend])
-        tree = KdTree(ids, vectors)
+        most = [max(abs(int(x.min())), abs(int(x.max()))) for x in (vectors, np.array([q for _, q, _ in queries]))]
+        # where int64 might not hold an inner product or a bound of one: Python's integers
+        kind = object if vectors.shape[1] * most[0] * most[1] >= 2**63 else np.int64
+        tree = KdTree(ids, vectors.astype(kind, copy=False))
         for own, q, best in queries:
-            tree.search(q, own, k, best)
+            tree.search(q.astype(kind, copy=False), own, k, best)
         pend.clear()
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -136,11 +139,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """(query_id, rank, vec_id, score): the k best rows by integer inner product of floor(scale * x),
     x as double, ties to the smaller id, for queries whose id is divisible by every, but for themselves.
 
-    Vectors null, empty, or holding null or non-finite components take no part, nor do null ids. Only
+    Vectors null, empty, or holding null or non-finite components take no part, nor do null ids. A finite
+    component whose floor(scale * x) is no long is an error, as is a best score of a shard that is none. Only
     vectors of the query's own length are candidates. Rows that repeat an id are one row, with the
     largest vector. With fewer candidates than k all are returned. Other columns are ignored."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(2**40)))
+    def whole(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < float(2**63), F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component times scale is no long")).cast("long"))
+
+    v = F.transform(F.col(vector_col), whole)
+    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & fine)
     rows = staged(rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v")))
     is_query = F.col("vec_id") % every == 0

@@ -272,6 +272,20 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in rows if r["query_id"] >= 900) == [(1300, 1400), (1400, 1300)]
 
 
+def test_top_k_large_components(spark):
+    """Components of 2^40 and more take part; products beyond int64 cancel; too large ones are errors."""
+    big = 2.0**41
+    x = [(0, [big, -big]), (1, [big, big]), (2, [1.0, 2.0]), (3, [0.0, -1.0]), (4, [float("inf"), 0.0])]
+    x += [(5 + i, [big, big - i / 1024]) for i in range(200)]
+    v = {i: [math.floor(1024 * y) for y in a] for i, a in x if i != 4}
+    want = sorted((-(v[0][0] * v[i][0] + v[0][1] * v[i][1]), i) for i in v if i != 0)
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    want = [(n + 1, i, -s) for n, (s, i) in enumerate(want[:10])]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in top_k(df, every=1000).orderBy("rank").collect()] == want
+    with pytest.raises(Exception, match="no long"):
+        top_k(spark.createDataFrame([(0, [1e30])], df.schema)).collect()
+
+
 def test_fingerprints(spark):
     texts = [*ODD, " ".join(near_copies(9, 40))]
     got = {r["doc_id"]: r for r in fingerprints(docs(spark, texts), rows_in_bucket=3).collect()}
