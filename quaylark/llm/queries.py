@@ -33,9 +33,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and sample: crc32 of the ids, and whether decoding gives the text back."""
-    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    back = decode(sample_segmentations(docs, k=2))
-    return back.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.round("log_prob", 6).alias("log_prob"), F.round("log_inclusion", 6).alias("log_inclusion"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+    back = decode(sample_segmentations(table(spark, sf_dir, "documents"), k=2, crc=True))
+    decoded = F.crc32(F.col("text").cast("binary"))
+    return back.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.round("log_prob", 6).alias("log_prob"), F.round("log_inclusion", 6).alias("log_inclusion"), decoded.alias("decoded_crc32"), (decoded == F.col("text_crc32")).alias("round_trip"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -399,8 +400,8 @@ def sample_texts(texts: list[str | None], keys: list[int | None], k: int, m: Mod
     return [[(m.spell(a).astype("<u4"), p, i) for a, p, _, i in f] for f in found]
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SAMPLES: for each row of docs up to k distinct segmentations of its whole text, drawn without
+def sample_segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", crc: bool = False) -> DataFrame:
+    """SAMPLES, with crc also text_crc32, the crc32 of the text's UTF-8: for each row of docs up to k distinct segmentations of its whole text, drawn without
     replacement in proportion to their probability, best perturbed value first (sample from 1).
 
     ids are little-endian unsigned 32-bit. A null or empty text has one segmentation, of no pieces; a
@@ -408,24 +409,27 @@ def sample_segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, pa
     the text alone: equal rows give equal samples. A null id counts as 0 and stays null. Other columns
     are ignored."""
     small_batches(docs.sparkSession)
+    schema = _SCHEMA.append(pa.field("text_crc32", pa.int64())) if crc else _SCHEMA
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, sharpness)
         for batch in batches:
             rows = []
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            crcs = [zlib.crc32((t or "").encode()) for t in texts] if crc else None
             for a, b in _groups(texts):
-                for i, found in zip(keys[a:b], sample_texts(texts[a:b], keys[a:b], k, m), strict=True):
-                    rows += [(i, n + 1, ids.tobytes(), len(ids), p, inc) for n, (ids, p, inc) in enumerate(found)]
+                for at, found in enumerate(sample_texts(texts[a:b], keys[a:b], k, m), a):
+                    rows += [(keys[at], n + 1, ids.tobytes(), len(ids), p, inc, *([crcs[at]] if crc else [])) for n, (ids, p, inc) in enumerate(found)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(f, SAMPLES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(f, SAMPLES + ", text_crc32 long" * crc)
 
 
 def decode(samples: DataFrame, path: str | None = None) -> DataFrame:
     """samples with the text of ids in text; null ids give null."""
-    schema = samples.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids").schema.add("text", "string")
+    samples = samples.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids", *[c for c in samples.columns if c == "text_crc32"])
+    schema = samples.select("*").schema.add("text", "string")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -433,4 +437,4 @@ def decode(samples: DataFrame, path: str | None = None) -> DataFrame:
             text = [None if x is None else m.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "text"])
 
-    return samples.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids").mapInArrow(f, schema)
+    return samples.mapInArrow(f, schema)

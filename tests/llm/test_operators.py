@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from quaylark.llm.kdtree_topk import top_k
 from quaylark.llm.line_dedup import duplicate_lines, without_duplicate_lines
 from quaylark.llm.piecewise_hash import distances, edited, fingerprint, fingerprints, likeness
 from quaylark.llm.quality import score_quality
-from quaylark.llm.queries import op4_line_dedup
+from quaylark.llm.queries import op2_sentencepiece_sampling, op4_line_dedup
 from quaylark.llm.sentencepiece_sampling import Model, decode, default_path, sample_segmentations, sample_texts
 from quaylark.llm.signature_join import jaccard_components
 from quaylark.llm.url_reputation import host_reputation, judge_urls
@@ -180,6 +181,14 @@ def test_sampling_round_trip(spark):
     assert again == {(r["doc_id"], r["sample"]): bytes(r["ids"]) for r in out}
 
 
+def test_sampling_compares(spark, tmp_path):
+    docs(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op2_sentencepiece_sampling(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(ODD))) and all(r["round_trip"] for r in rows)
+    crcs = sample_segmentations(docs(spark, ODD), crc=True).collect()
+    assert all(r["text_crc32"] == zlib.crc32((ODD[r["doc_id"]] or "").encode()) for r in crcs)
+
+
 def test_urls(spark):
     urls = ["https://WWW.Example.com/en/a?x", "http://example.com/en/", "https://shop.com", "https://a.net/es/1", None, "no scheme", "http://good.org/x#y", "http://bad.org/x"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(100 + i, "http://bad.org/x", "", "") for i in range(60)] + [(200 + i, f"http://ok{i}.org/x", "", "") for i in range(90)], "page_id long, url string, html string, rule string")
