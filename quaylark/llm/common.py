@@ -34,18 +34,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Only a session that runs in one
+    process, as in tests, may leave it unset; it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="quaylark-"))
         base = f"file://{_LOCAL[0]}"
     path = f"{base.rstrip('/')}/quaylark-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
+    _SCRATCH[path] = spark
     return path
 
 
@@ -53,24 +57,47 @@ _LOCAL: list[str] = []
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors. The shuffle
+    files of its making go as soon as it is written."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        _delete(_SCRATCH.pop(df._staged_at), df._staged_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _SCRATCH:
+    for path, spark in _SCRATCH.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended
             return
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in either case."""
+    names = {c.lower() for c in docs.columns}
+    return next(x for x in (f"{name}{i}" for i in range(10**6)) if x not in names)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = 20_000) -> DataFrame:
     """Broadcasts small only if it is counted to have at most limit rows; else shuffles both, and
     adaptive execution splits skewed keys."""

@@ -1,11 +1,13 @@
 """Exact set-similarity join over the lines of all documents; later matches go.
 
-A line's tokens are its distinct words, as written, between ASCII white space. Lines with equal sets are one class, shown by its
-first line; only classes are joined. Tokens are ordered by rarity: the counts of all tokens of the
-corpus by hashed bucket, least first, ties by hash. Any two sets at the threshold share a token of the
-prefixes, so lines meet there; length, position and a 64-bit parity signature drop most pairs in the join's
-condition. Every match is verified on the words themselves: each line against the first lines of its
-prefix tokens, then lines that match none of those against all others. DataFrame functions only.
+A line's tokens are its distinct words, as written, between ASCII white space. Lines with equal sets are one
+class, shown by its first line; only classes are joined. Tokens are ordered by rarity: a coarse logarithm of
+the count of all tokens of the corpus by hashed bucket, least first, ties by hash. Two sets at the threshold
+share a token of the prefixes that their sizes ask for, the shorter one's index prefix and the longer one's
+probe prefix; length, position and a parity signature drop most pairs in the join's condition. Every match
+between classes is verified on the words themselves. One match is enough: before the join each line meets the
+first lines with its rarest tokens, and lines that match there are only met as the earlier one. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import join_checked, staged
+from quaylark.llm.common import fresh, released, staged
 
 #: Buckets of the corpus count of tokens: a bound on what every task gets.
 BUCKETS = 1 << 16
-#: Up to so many ids are broadcast to pick their texts; with more, both sides are shuffled.
-IDS = 500_000
-#: xxhash64 of an empty word, which two spaces leave.
-EMPTY = -7444071767201028348
-#: The distinct upper 16 bits of the hashes of words.
-SKETCH = "array_distinct(transform(words, w -> cast(shiftright(xxhash64(w), 48) as short)))"
+#: Bits of the filter of wanted lines, and of one of its rows; its 2048 rows of 4 KB are broadcast, whatever the input.
+FILTER_BITS, ROW_BITS = 26, 15
+#: Lines of more words have a parity signature of 128 bits, others of 64.
+LONG = 64
+#: Of so many of its rarest tokens each line meets the first lines, before the join.
+RAREST = 3
+#: Lets a lambda read the levels, which are a scalar subquery.
+IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
+WHERE = ["id", "line_no"]
 
 
 def _spaced(text: Column) -> Column:
@@ -35,133 +40,170 @@ def words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 48).cast("int")
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def _ranks(texts: DataFrame) -> Column:
-    """A literal array with the rank of each bucket by its count of tokens over all texts: 12 bits
-    at the top of a long.
-    It has BUCKETS entries whatever the input."""
-    counts = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("word")).select(_bucket(F.xxhash64("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    by_bucket = [0] * BUCKETS
-    for r in counts.collect():
-        by_bucket[r["bucket"]] = r["c"]
-    ranks = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=by_bucket.__getitem__)):
-        ranks[b] = (i * 4096 // BUCKETS) << 51
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+def _levels(texts: DataFrame) -> Column:
+    """An array of BUCKETS levels, 0 to 127 in the top bits of a long, that rise with the logarithm of a bucket's
+    count of tokens over all texts, as a scalar subquery: it is no part of the plan's text."""
+    all_words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
+    counts = texts.select(F.explode(all_words).alias("word")).select(_bucket(F.col("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    level = F.shiftleft(F.least(F.floor(F.log2("c") * 3), F.lit(127)).cast("long"), 56)
+    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce(level, F.lit(0)).alias("level"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels")).scalar()
 
 
 def _exploded(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _close(percent: int) -> Column:
-    """Whether lines x and y, with n words, a parity and a shared token at a place, can match, x the earlier."""
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    return (
-        (F.struct("x.id", "x.line_no") < F.struct("y.id", "y.line_no"))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least)
-        & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= F.col("x.n") + F.col("y.n") - 2 * least)
-    )
+def _before(x: str, y: str) -> Column:
+    """Whether line x is earlier than line y."""
+    return (F.col(f"{x}.id") < F.col(f"{y}.id")) | ((F.col(f"{x}.id") == F.col(f"{y}.id")) & (F.col(f"{x}.line_no") < F.col(f"{y}.line_no")))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """The distinct pairs of x and y, written."""
-    return staged(met.select(F.col("x.id").alias("a"), F.col("x.line_no").alias("a_no"), F.col("y.id").alias("b"), F.col("y.line_no").alias("b_no")).distinct())
+def _few_apart(percent: int) -> Column:
+    """A bit in which the parities of x and y differ is a word that one of them lacks."""
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    (a, b), (c, d) = ((F.col(f"{x}.bits"), F.col(f"{x}.more")) for x in "xy")
+    fold = lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0).cast("long")))
+    apart = F.when(b.isNotNull() & d.isNotNull(), differ(a, c) + differ(b, d)).otherwise(differ(fold(a, b), fold(c, d)))
+    return apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
 
-def _picked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, line_no, words, n, sketch) of the lines in pairs: picked where their text is read, so only they travel."""
-    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
-    wanted = named.groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
-    picked = join_checked(texts, wanted, ["id"], "inner", IDS).select("id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    picked = picked.where(F.array_contains("wanted", F.col("line_no"))).select("id", "line_no", words(F.col("line")).alias("words"))
-    # a row that repeats an id has lines of the same numbers: all of them stand for the number
-    return staged(picked.withColumn("n", F.size("words")).withColumn("sketch", F.expr(SKETCH)))
+def _pairs(met: DataFrame, earlier: str = "x", later: str = "y") -> DataFrame:
+    return met.select(F.col(f"{earlier}.id").alias("a"), F.col(f"{earlier}.line_no").alias("a_no"), F.col(f"{later}.id").alias("b"), F.col(f"{later}.line_no").alias("b_no"))
 
 
-def _beside(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
+def _named(pairs: DataFrame) -> DataFrame:
+    """(id, line_no) of the lines in pairs."""
+    return pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(f"{x}_no").alias("line_no")) for x in "ab"])).alias("x")).select("x.*").distinct()
+
+
+def _picked(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, line_no, words, n, sketch) of the lines in named. A filter of fixed size drops most others where their
+    text is read; what it lets through is shuffled and joined."""
+    place = F.shiftrightunsigned(F.xxhash64(*WHERE), 64 - FILTER_BITS)
+    slot, bit = F.shiftrightunsigned("place", ROW_BITS), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    seen = named.select(place.alias("place")).groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("map"))
+    lines = _exploded(texts).withColumn("place", place).join(F.broadcast(seen), slot == F.col("slot"))
+    byte = F.conv(F.hex(F.substring("map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    lines = lines.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*WHERE, "line")
+    # an inner join, as a semi join would be pushed below the filter; a row that repeats an id has
+    # lines of the same numbers: all of them stand for the number
+    picked = lines.join(named, WHERE).select(*WHERE, words(F.col("line")).alias("words"))
+    return staged(picked.withColumn("n", F.size("words")))
+
+
+def _beside(pairs: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
     """pairs with columns of both lines; one line's travel with the pair, the other's wait there."""
     for side in "ab":
-        line = whole.select(F.col("id").alias(side), F.col("line_no").alias(f"{side}_no"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-        pairs = pairs.join(line, [side, f"{side}_no"])
+        own = lines.select(F.col("id").alias(side), F.col("line_no").alias(f"{side}_no"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        pairs = pairs.join(own, [side, f"{side}_no"])
     return pairs
 
 
-def _likely(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can match by their words' 16-bit hashes: a hash that one line lacks is a word that it lacks."""
-    least = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
-    lacks_b, lacks_a = F.size(F.array_except("a_sketch", "b_sketch")), F.size(F.array_except("b_sketch", "a_sketch"))
-    return _beside(pairs, whole, "n", "sketch").where((F.col("a_n") - lacks_b >= least) & (F.col("b_n") - lacks_a >= least)).select("a", "a_no", "b", "b_no")
-
-
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(b, b_no) once, of pairs whose words match. Pairs are few beside the lines of whole: only their lines' words travel."""
-    pairs = staged(_likely(pairs, whole, percent))
-    named = pairs.select(F.col("a").alias("id"), F.col("a_no").alias("line_no")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")))
-    lines = join_checked(whole.select("id", "line_no", "n", "words"), named.distinct(), ["id", "line_no"], "left_semi", IDS)
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(id, line_no) once, of the later lines of the pairs whose words match; drops pairs."""
+    lines = _picked(texts, _named(pairs))
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    return _beside(pairs, lines, "n", "words").where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * percent).select("b", "b_no").distinct()
+    match = shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    out = staged(_beside(pairs, lines, "n", "words").where(match).select(F.col("b").alias("id"), F.col("b_no").alias("line_no")).distinct())
+    released(pairs, lines)
+    return out
+
+
+def _sets(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, line_no, n, set, set2, prefix, bits, more) of each line. A word counts in the parity bits, or in more if
+    its hash says so and the line has over LONG words."""
+    spark, levels = texts.sparkSession, _levels(texts)
+    # never null, so that arrays of keys are sorted as longs
+    key = lambda w: F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    before = spark.conf.get(IN_LAMBDA, None)
+    spark.conf.set(IN_LAMBDA, "true")
+    try:
+        # two spaces leave an empty word
+        keys = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit(""))))
+        lines = _exploded(texts).select(*WHERE, keys.alias("keys"))
+    finally:
+        spark.conf.unset(IN_LAMBDA) if before is None else spark.conf.set(IN_LAMBDA, before)
+    n = F.size("keys")
+    # of fewer words than joins, only equal sets match; at 100 percent none joins
+    joins = n >= -(-percent // (100 - percent)) if percent < 100 else F.lit(False)
+    prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    parity = lambda which: F.expr(f"aggregate(keys, 0L, (a, k) -> {which})")
+    flip = "a ^ shiftleft(1L, cast(k & 63 as int))"
+    bits = F.when(n > LONG, parity(f"if(k & 64 = 0, {flip}, a)")).otherwise(parity(flip))
+    more = F.when(n > LONG, parity(f"if(k & 64 = 0, a, {flip})"))
+    return staged(lines.select(*WHERE, n.alias("n"), F.xxhash64("keys").alias("set"), F.hash("keys").alias("set2"), F.when(joins, prefix).alias("prefix"), F.when(joins, bits).alias("bits"), F.when(joins, more).alias("more")))
+
+
+def _hubs(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class and the first ones with its rarest tokens."""
+    by = classes.select("first.*", "n", "bits", "more", F.explode(F.array_compact(F.array(*[f"t{i}" for i in range(RAREST)]))).alias("token"))
+    first = by.groupBy("token").agg(F.min(F.struct(*WHERE, "n", "bits", "more")).alias("x"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token", "x")
+    met = by.select("token", F.struct(*WHERE, "n", "bits", "more").alias("y")).join(first, "token")
+    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _few_apart(percent) & _before("x", "y")
+    return staged(_pairs(met.where(close)).distinct())
+
+
+def _joined(lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lines (id, line_no, n, bits, more, prefix, open) that share a prefix token and whose later one is open;
+    x is the one with fewer words, or the earlier of as many."""
+    own = lines.select(*WHERE, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
+    x = own.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).alias("x")
+    # the words from the shared token on are as many as the overlap needs, in both
+    rest = lambda a, b: F.col(f"{a}.n").cast("long") * 100 - F.col(f"{a}.at").cast("long") * (100 + percent) >= F.col(f"{b}.n").cast("long") * percent
+    near = rest("x", "y") & rest("y", "x") & (F.col("x.n") <= F.col("y.n"))
+    first = _before("x", "y")
+    # of lines with as many words each is x once and y once
+    kept = F.when(first, F.col("y.open")).otherwise(F.col("x.open") & (F.col("x.n") < F.col("y.n")) & _before("y", "x"))
+    met = x.join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & near & _few_apart(percent) & kept)
+    swap = lambda c, one, other: F.when(first, F.col(f"{one}.{c}")).otherwise(F.col(f"{other}.{c}"))
+    return staged(met.select(swap("id", "x", "y").alias("a"), swap("line_no", "x", "y").alias("a_no"), swap("id", "y", "x").alias("b"), swap("line_no", "y", "x").alias("b_no")).distinct())
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
     """(id, line_no) of every line with an earlier match, line_no from 0; earlier is by (id, line_no).
 
-    Lines are cut at newlines, words at other ASCII white space. A match shares at least percent of both lines' distinct words (Jaccard),
-    whether or not the earlier line has gone itself. Lines without a word match nothing. Null texts
+    Lines are cut at newlines, words at other ASCII white space. A match shares at least percent of both lines'
+    distinct words (Jaccard), whether or not the earlier line has gone itself. Equal sets match by a hash of 56 bits
+    of each word and 96 of the set, others by their words. Lines without a word match nothing. Null texts
     have no lines; rows with a null id take no part; rows that repeat an id are numbered alike, and a
     line of theirs goes if it does in one of them. Other columns are ignored."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), _spaced(F.col(text_col).cast("string")).alias("text")).where("id is not null and text is not null")
-    ranks = _ranks(texts)
-
-    # hashes first: distinct on longs is cheaper than on words, and each word is hashed once
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), EMPTY)
-    lines = _exploded(texts).select("id", "line_no", hashes.alias("hashes"))
-    keys = F.sort_array(F.transform("hashes", lambda h: F.get(ranks, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 13))))
-    lines = lines.select("id", "line_no", keys.alias("keys"))
-    n = F.size("keys")
-    need = F.ceil(n * percent / 100)
-    # of fewer words than joined, only equal sets match
-    joined = -(-percent // (100 - percent))
-    prefix = F.when(n >= joined, F.slice("keys", 1, (n - need + 1).cast("int")))
-    # a parity doesn't fill up with long lines: a bit in which two differ is a word that one lacks
-    bits = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))")
-    sets = staged(lines.select("id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set"), prefix.alias("prefix"), F.when(n >= joined, bits).alias("bits"))).where("n > 0")
-    where = F.struct("id", "line_no")
-    classes = staged(sets.groupBy("set", "n").agg(F.min(where).alias("first"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
-    slim = classes.where("prefix is not null").select("n", "bits", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("at", "token"))
-    # one match is enough: each line meets the first line of each of its tokens, and only lines that match none
-    # of those meet the others, so that a group of variants doesn't meet pair by pair
-    firsts = slim.groupBy("token").agg(F.min(F.struct("id", "line_no", "n", "bits", "at")).alias("x"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    others = staged(slim.join(firsts, "token").where((F.col("id") != F.col("x.id")) | (F.col("line_no") != F.col("x.line_no"))))
-    pairs = _pairs(others.select("x", F.struct("id", "line_no", "n", "bits", "at").alias("y")).where(_close(percent)))
-    matched = staged(_verified(pairs, _picked(texts, pairs), percent))
-    x = others.where("lines > 2").select("token", F.struct("id", "line_no", "n", "bits", "at").alias("x"))
-    y = join_checked(others.where("lines > 2").drop("x"), matched.select(F.col("b").alias("id"), F.col("b_no").alias("line_no")), ["id", "line_no"], "left_anti", IDS)
-    y = y.select(F.col("token").alias("other"), F.struct("id", "line_no", "n", "bits", "at").alias("y"))
-    pairs = _pairs(x.join(y, (F.col("token") == F.col("other")) & _close(percent)))
-    later = matched.unionByName(_verified(pairs, _picked(texts, pairs), percent)).select(F.struct(F.col("b").alias("id"), F.col("b_no").alias("line_no")).alias("first"), F.lit(True).alias("later"))
-    # all lines of a class whose first line goes, and all but the first of others
-    goes = classes.join(later, "first", "left").where("later or copies > 1").select("set", "n", "first", F.coalesce("later", F.lit(False)).alias("all"))
-    out = sets.select("id", "line_no", "set", "n").join(goes, ["set", "n"]).where(F.col("all") | (F.struct("id", "line_no") > F.col("first")))
-    return out.select("id", "line_no").distinct()
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _spaced(F.col(f"`{text_col}`").cast("string")).alias("text")).where("id is not null and text is not null")
+    made = _sets(texts, percent)
+    sets, name = made.where("n > 0"), ["set", "set2", "n"]
+    tokens = [F.first(F.get("prefix", i)).alias(f"t{i}") for i in range(RAREST)]
+    classes = staged(sets.groupBy(*name).agg(F.min(F.struct(*WHERE)).alias("first"), F.first("bits").alias("bits"), F.first("more").alias("more"), *tokens, F.count(F.lit(1)).alias("copies")))
+    copied = classes.where("copies > 1").select(*name, "first")
+    copies = staged(sets.select(*WHERE, *name).join(copied, name).where(F.struct(*WHERE) > F.col("first")).select(*WHERE).distinct())
+    early = _verified(_hubs(classes.where("bits is not null"), percent), texts, percent)
+    released(classes)
+    # copies don't join; lines with a match already are only met by others
+    known = copies.withColumn("copy", F.lit(True)).unionByName(early.withColumn("copy", F.lit(False)))
+    lines = sets.where("bits is not null").select(*WHERE, "n", "bits", "more", "prefix").join(known, WHERE, "left")
+    lines = staged(lines.where("copy is null or not copy").select("*", F.col("copy").isNull().alias("open")).drop("copy"))
+    released(made)
+    pairs = _joined(lines, percent)
+    released(lines)
+    # a copy of a line that goes is a copy
+    return copies.unionByName(early).unionByName(_verified(pairs, texts, percent)).distinct()
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", percent: int = 90) -> DataFrame:
     """The rows of docs without the lines of duplicate_lines; all other columns as they are, but for
     length_col, the new text's characters where lines went. A row that loses lines and keeps no word
     goes. A text that loses nothing stays as it is, null and empty ones too."""
-    names = {c.lower() for c in docs.columns}
-    gone = next(x for x in (f"gone{i}" for i in range(10**6)) if x not in names)
-    key = next(x for x in (f"key{i}" for i in range(10**6)) if x not in names)
+    gone, key = fresh(docs, "gone"), fresh(docs, "key")
     lines = duplicate_lines(docs, id_col, text_col, percent).groupBy("id").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("id", key)
-    out = docs.join(lines, docs[id_col].cast("long") == F.col(key), "left")
+    out = docs.join(lines, docs[f"`{id_col}`"].cast("long") == F.col(key), "left")
     text = F.col(f"`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
     out = out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept)).where(F.col(gone).isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(gone).isNull(), F.col(length_col)).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))
+        out = out.withColumn(length_col, F.when(F.col(gone).isNull(), F.col(f"`{length_col}`")).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])
