@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from quaylark.llm.common import fresh, released, staged
 
 #: Buckets of the corpus count of tokens: a bound on what every task gets.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bits of the filter of wanted lines, and of one of its rows; its 2048 rows of 4 KB are broadcast, whatever the input.
 FILTER_BITS, ROW_BITS = 26, 15
 #: Lines of more words have a parity signature of 128 bits, others of 64.
 LONG = 64
 #: Of so many of its rarest tokens each line meets the first lines, before the join.
-RAREST = 3
+RAREST = 2
 #: Lets a lambda read the levels, which are a scalar subquery.
 IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 WHERE = ["id", "line_no"]
@@ -45,13 +45,15 @@ def _bucket(word: Column) -> Column:
 
 
 def _levels(texts: DataFrame) -> Column:
-    """An array of BUCKETS levels, 0 to 127 in the top bits of a long, that rise with the logarithm of a bucket's
-    count of tokens over all texts, as a scalar subquery: it is no part of the plan's text."""
+    """An array of BUCKETS levels, 0 to 127, that rise with the logarithm of a bucket's count of tokens over all
+    texts, as a scalar subquery: it is no part of the plan's text."""
     all_words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
     counts = texts.select(F.explode(all_words).alias("word")).select(_bucket(F.col("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    level = F.shiftleft(F.least(F.floor(F.log2("c") * 3), F.lit(127)).cast("long"), 56)
-    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce(level, F.lit(0)).alias("level"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels")).scalar()
+    level = F.coalesce(F.least(F.floor(F.log2("c") * 3), F.lit(127)), F.lit(0)).cast("tinyint")
+    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", level.alias("level"))
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    some = every.groupBy(F.shiftright("bucket", 10).alias("part")).agg(ordered("bucket", "level").alias("levels"))
+    return some.agg(F.flatten(ordered("part", "levels"))).scalar()
 
 
 def _exploded(texts: DataFrame) -> DataFrame:
@@ -81,17 +83,23 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(f"{x}_no").alias("line_no")) for x in "ab"])).alias("x")).select("x.*").distinct()
 
 
-def _picked(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, line_no, words, n, sketch) of the lines in named. A filter of fixed size drops most others where their
-    text is read; what it lets through is shuffled and joined."""
-    place = F.shiftrightunsigned(F.xxhash64(*WHERE), 64 - FILTER_BITS)
+def _within(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose columns on are, most likely, those of a row of wanted; none of these is lost. What is
+    broadcast is a filter of fixed size, whatever the input."""
+    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - FILTER_BITS)
     slot, bit = F.shiftrightunsigned("place", ROW_BITS), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    seen = named.select(place.alias("place")).groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("map"))
-    lines = _exploded(texts).withColumn("place", place).join(F.broadcast(seen), slot == F.col("slot"))
+    seen = wanted.select(place.alias("place")).groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("map"))
     byte = F.conv(F.hex(F.substring("map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    lines = lines.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*WHERE, "line")
-    # an inner join, as a semi join would be pushed below the filter; a row that repeats an id has
-    # lines of the same numbers: all of them stand for the number
+    met = rows.withColumn("place", place).join(F.broadcast(seen), slot == F.col("slot"))
+    return met.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
+def _picked(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, line_no, words, n) of the lines in named. Filters drop most other texts and lines where they are read;
+    what they let through is shuffled and joined."""
+    lines = _within(_exploded(_within(texts, named, ["id"])), named, WHERE)
+    # an inner join, as a semi join would be pushed below the filters; a row that repeats an id has lines of
+    # the same numbers: all of them stand for the number
     picked = lines.join(named, WHERE).select(*WHERE, words(F.col("line")).alias("words"))
     return staged(picked.withColumn("n", F.size("words")))
 
@@ -119,7 +127,8 @@ def _sets(texts: DataFrame, percent: int) -> DataFrame:
     its hash says so and the line has over LONG words."""
     spark, levels = texts.sparkSession, _levels(texts)
     # never null, so that arrays of keys are sorted as longs
-    key = lambda w: F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    level = lambda w: F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("tinyint")).cast("long")
+    key = lambda w: F.shiftleft(level(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
     before = spark.conf.get(IN_LAMBDA, None)
     spark.conf.set(IN_LAMBDA, "true")
     try:
