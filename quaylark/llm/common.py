@@ -19,6 +19,8 @@ LOWER = UPPER.lower()
 PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch where rows carry whole texts.
 TEXT_BATCH_ROWS = 256
+#: Bits of the filter of within, and of one of its rows: 2048 rows of 4 KB at most are broadcast, whatever the input.
+FILTER_BITS, ROW_BITS = 26, 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,17 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return big.join(F.broadcast(small) if n <= limit else small, on, how)
 
 
+def within(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose columns on are, most likely, those of a row of wanted; none of these is lost. What is
+    broadcast is a filter of fixed size, whatever the input."""
+    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - FILTER_BITS)
+    slot, bit = F.shiftrightunsigned("place", ROW_BITS), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    seen = wanted.select(place.alias("place")).groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("place", place).join(F.broadcast(seen), slot == F.col("slot"))
+    return met.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
     """Of batches sorted by keys, the columns of each run of equal keys, as lists; a run may span batches."""
     held: dict[str, list] | None = None

@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import fresh, released, staged
+from quaylark.llm.common import fresh, released, staged, within
 
 #: Buckets of the corpus count of tokens: a bound on what every task gets.
 BUCKETS = 1 << 18
-#: Bits of the filter of wanted lines, and of one of its rows; its 2048 rows of 4 KB are broadcast, whatever the input.
-FILTER_BITS, ROW_BITS = 26, 15
 #: Lines of more words have a parity signature of 128 bits, others of 64.
 LONG = 64
 #: Of so many of its rarest tokens each line meets the first lines, before the join.
@@ -83,21 +81,10 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(f"{x}_no").alias("line_no")) for x in "ab"])).alias("x")).select("x.*").distinct()
 
 
-def _within(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose columns on are, most likely, those of a row of wanted; none of these is lost. What is
-    broadcast is a filter of fixed size, whatever the input."""
-    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - FILTER_BITS)
-    slot, bit = F.shiftrightunsigned("place", ROW_BITS), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    seen = wanted.select(place.alias("place")).groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("map"))
-    byte = F.conv(F.hex(F.substring("map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("place", place).join(F.broadcast(seen), slot == F.col("slot"))
-    return met.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
-
-
 def _picked(texts: DataFrame, named: DataFrame) -> DataFrame:
     """(id, line_no, words, n) of the lines in named. Filters drop most other texts and lines where they are read;
     what they let through is shuffled and joined."""
-    lines = _within(_exploded(_within(texts, named, ["id"])), named, WHERE)
+    lines = within(_exploded(within(texts, named, ["id"])), named, WHERE)
     # an inner join, as a semi join would be pushed below the filters; a row that repeats an id has lines of
     # the same numbers: all of them stand for the number
     picked = lines.join(named, WHERE).select(*WHERE, words(F.col("line")).alias("words"))

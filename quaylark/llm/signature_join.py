@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quaylark.llm.common import components, join_checked, mix, runs, shingle_set, small_batches, staged, words_of
+from quaylark.llm.common import components, mix, released, runs, shingle_set, small_batches, staged, within, words_of
 
 #: Buckets of the corpus count of shingles: a bound on what is broadcast.
 COUNT_BUCKETS = 1 << 20
@@ -35,8 +34,6 @@ SLICE = 1 << 14
 BLOCK = 1024
 #: Minimum hashes for the first round.
 KEYS = 2
-#: Up to so many ids are broadcast to pick their texts; with more, both sides are shuffled.
-IDS = 500_000
 #: Up to so many documents of a prefix shingle meet pair by pair; more are a block.
 FEW = 64
 LEAF = 32
@@ -184,6 +181,12 @@ def _sets(df: pd.DataFrame) -> Iterator[tuple[object, np.ndarray]]:
         yield i, shingle_set(w)
 
 
+def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id is in ids, which are distinct: a filter of fixed size drops most others where they are
+    read, what it lets through is shuffled. An inner join, as a semi join would be pushed below the filter."""
+    return within(texts, ids, ["id"]).join(ids, "id")
+
+
 def _with_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the texts whose id is in ids."""
 
@@ -192,7 +195,7 @@ def _with_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             rows = [(i, s.tobytes()) for i, s in _sets(df)]
             yield pd.DataFrame(rows, columns=["id", "shingles"])
 
-    return join_checked(texts, ids, ["id"], "left_semi", IDS).mapInPandas(f, "id long, shingles binary")
+    return _chosen(texts, ids).mapInPandas(f, "id long, shingles binary")
 
 
 def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,6 +267,13 @@ def _prefixes(counts: np.ndarray, percent: int):
     return f
 
 
+def _unlike(rows: DataFrame, column: str) -> DataFrame:
+    """(h, c), written: the shingles whose rows differ in column, and the count of their rows. Counted before
+    they are shuffled, so no task gets all rows of a hot shingle."""
+    by = rows.groupBy("h").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("c"))
+    return staged(by.where("lo < hi").select("h", "c"))
+
+
 def _chunked(rows: DataFrame) -> DataFrame:
     """rows (block, id, comp) cut into tasks (block, u, v, side, id, comp): chunk u joined with
     itself (side 0 only) or with chunk v. The number of chunks follows the block's count."""
@@ -331,7 +341,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = profile.where("kind = 0").drop("kind", "counts")
     least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"), F.first("k0").alias("k0"), F.first("k1").alias("k1"))
     reps = staged(least.select(F.col("class_id").alias("id"), "n", "s1", "s2", "k0", "k1"))
-    rep_texts = join_checked(texts, reps.select("id"), ["id"], "left_semi", IDS)
 
     # round one: blocks by minimum hash; the chunks of a large block share its least document
     keys = reps.select("id", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"k{j}").alias("k")) for j in range(KEYS)])).alias("x")).select("id", F.xxhash64("x.j", "x.k").alias("block"))
@@ -343,12 +352,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = staged(components(first))
 
     # round two: every prefix shingle whose documents aren't connected yet
-    found = rep_texts.mapInPandas(_prefixes(counts, percent), "h long, id long, n int")
-    w = Window.partitionBy("h")
-    shared = found.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi").select("h", "id", "n")
-    named = shared.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_ = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("c", F.count(F.lit(1)).over(w)).where("lo < hi")
-    open_ = staged(open_.select("h", "id", "n", "comp", "c"))
+    found = staged(_chosen(texts, reps.select("id")).mapInPandas(_prefixes(counts, percent), "h long, id long, n int"))
+    shared = _unlike(found, "id")
+    named = staged(within(found, shared, ["h"]).join(shared.select("h"), "h").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp")))
+    released(found, shared)
+    open_ = _unlike(named, "comp")
+    open_ = staged(named.join(open_, "h"))
     few = open_.where(F.col("c") <= FEW)
     tasks = _pair_tasks(few, percent).unionByName(_chunked(_distinct_blocks(open_.where(F.col("c") > FEW))))
     second = _links(staged(tasks), texts, percent)
