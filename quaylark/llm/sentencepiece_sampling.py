@@ -27,7 +27,7 @@ from quaylark.llm.common import mix, small_batches
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Arcs kept by a worker before it starts anew; bounds its memory.
-MOST_ARCS = 2_000_000
+MOST_ARCS = 4_000_000
 #: Words over this many characters get their lattice alone.
 LONG = 64
 #: Characters of texts that are searched in step.
@@ -109,13 +109,13 @@ class Model:
         self.deepest = max(map(len, self.weight))
 
     def fresh(self) -> None:
-        #: by arc: node + cumulative probability, log-probability given the node, log of the others',
+        #: by arc: cumulative probability within the node, log-probability given the node, log of the others',
         #: next node (-1: the word ends), place and number of its ids in self.ids
-        self.key, self.logp, self.rest = (np.zeros(MOST_ARCS) for _ in range(3))
-        self.next, self.ids = (np.zeros(MOST_ARCS, np.int64) for _ in range(2))
+        self.up, self.logp, self.rest = (np.zeros(MOST_ARCS) for _ in range(3))
+        self.next, self.ids = (np.zeros(MOST_ARCS, np.int32) for _ in range(2))
         #: characters that are no piece: an arc of several ids, kept as -1 - place in self.spelt
         self.spelt: list[tuple[int, ...]] = []
-        self.node_arc = np.zeros(MOST_ARCS, np.int64)
+        self.node_arc = np.zeros(MOST_ARCS, np.int32)
         self.n_arcs = self.n_nodes = 0
         self.start: dict[str, int] = {}
 
@@ -194,23 +194,24 @@ class Model:
         logp = np.minimum(log_w + z[dst] - z[src], 0.0)
         p = np.exp(logp)
         many = np.diff(arc_at, append=len(src))
-        total = np.cumsum(p)
-        base = total[arc_at] - p[arc_at]
-        node = self.n_nodes + np.repeat(np.arange(len(slots)), many)
-        key = node + np.clip(total - np.repeat(base, many), 0.0, 1.0)
+        # sums within each node, so that equal words have equal bits in any batch
+        up = p.copy()
+        for j in range(1, int(many.max(initial=0))):
+            at = arc_at[many > j] + j
+            up[at] += up[at - 1]
         last = arc_at + many - 1
-        key[last] = node[last] + 1.0
+        up[last] = 1.0
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(p, 1.0))
         rest[last[many == 1]] = -np.inf
         slot_node = np.full(n, -1, np.int64)
         slot_node[slots] = self.n_nodes + np.arange(len(slots))
         a, b = self.n_arcs, self.n_arcs + len(src)
-        if b > len(self.key):
-            for name in ("key", "logp", "rest", "next", "ids", "node_arc"):
+        if b > len(self.up):
+            for name in ("up", "logp", "rest", "next", "ids", "node_arc"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old, np.zeros(b, old.dtype))))
-        self.key[a:b], self.logp[a:b], self.rest[a:b] = key, logp, rest
+        self.up[a:b], self.logp[a:b], self.rest[a:b] = up, logp, rest
         self.next[a:b], self.ids[a:b] = slot_node[dst], ident
         self.node_arc[self.n_nodes : self.n_nodes + len(slots)] = a + arc_at
         self.n_arcs, self.n_nodes = b, self.n_nodes + len(slots)
@@ -218,7 +219,7 @@ class Model:
 
     def arcs_of(self, arc: int) -> range:
         """All arcs of the node of an arc."""
-        node = int(np.searchsorted(self.node_arc[: self.n_nodes], arc, "right")) - 1
+        node = int(np.searchsorted(self.node_arc[: self.n_nodes], np.int32(arc), "right")) - 1
         return range(int(self.node_arc[node]), int(self.node_arc[node + 1]) if node + 1 < self.n_nodes else self.n_arcs)
 
     def spell(self, arcs: np.ndarray) -> np.ndarray:
@@ -258,7 +259,6 @@ class Search:
     def __init__(self, m: Model, units: list[np.ndarray], seeds: list[int]):
         self.m, self.units = m, units
         self.seeds = mix(np.array([x & (2**64 - 1) for x in seeds], np.uint64))
-        self.key = m.key[: m.n_arcs]
         self.calls = 0
 
     def draws(self, who: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -282,12 +282,12 @@ class Search:
         live, steps = np.arange(len(now)), []
         while len(live):
             with np.errstate(over="ignore"):
-                target = now + _uniform(base + np.uint64(len(steps)) * _STEP)
+                target = _uniform(base + np.uint64(len(steps)) * _STEP)
             arc = self.m.node_arc[now]
-            ask = np.flatnonzero(self.key[arc] < target)
+            ask = np.flatnonzero(self.m.up[arc] < target)
             while len(ask):
                 arc[ask] += 1
-                ask = ask[self.key[arc[ask]] < target[ask]]
+                ask = ask[self.m.up[arc[ask]] < target[ask]]
             steps.append((live, arc))
             count[live] += 1
             now = self.m.next[arc]
@@ -348,16 +348,21 @@ class Search:
             arcs, ends = self.tails(who, begin, first)
             sizes = np.diff(ends, prepend=0)
             logp = m.logp[arcs]
-            total = np.concatenate(([0.0], np.cumsum(logp)))
+            # sums within each text, so that its values don't depend on the others of the group
+            upto, whole = np.zeros(len(logp)), []
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                sums = np.cumsum(logp[a:b])
+                upto[a + 1 : b] = sums[:-1]
+                whole.append(float(sums[-1]) if b > a else 0.0)
             most = np.repeat(np.array(value), sizes)
-            phi = np.repeat(np.array(before) - total[ends - sizes], sizes) + total[:-1] + m.rest[arcs]
+            phi = np.repeat(np.array(before), sizes) + upto + m.rest[arcs]
             place = np.arange(len(arcs)) - np.repeat(ends - sizes, sizes) + 3
             v = self.cut(phi, most, self.draws(np.repeat(who, sizes), place))
             v[~np.isfinite(phi)] = -np.inf
             for i, w in enumerate(who.tolist()):
                 a, b = int(ends[i] - sizes[i]), int(ends[i])
                 path = np.concatenate((heads[i], arcs[a:b]))
-                out[w].append((path, before[i] + float(total[b] - total[a]), value[i]))
+                out[w].append((path, before[i] + whole[i], value[i]))
                 # no more of these can be popped or be the threshold
                 most_kept = k - len(out[w]) + 1
                 keep = np.argpartition(-v[a:b], most_kept)[:most_kept] if b - a > most_kept else np.arange(b - a)
@@ -406,7 +411,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, pa
 
     ids are little-endian unsigned 32-bit. A null or empty text has one segmentation, of no pieces; a
     text with fewer than k gives all it has, with inclusion score log 1 = 0. Draws depend on the id and
-    the text alone: equal rows give equal samples. A null id counts as 0 and stays null. Other columns
+    the text alone: equal rows give equal samples. A mark (U+2581) in a text stands for a space, and is
+    decoded as one. A null id counts as 0 and stays null. Other columns
     are ignored."""
     small_batches(docs.sparkSession)
     schema = _SCHEMA.append(pa.field("text_crc32", pa.int64())) if crc else _SCHEMA
