@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quaylark.llm import licenses, toxicity
+from quaylark.llm import kdtree_topk, licenses, toxicity
 from quaylark.llm.common import components, table
 from quaylark.llm.hilbert_packing import encoder, hilbert, pack, tail_lengths, token_ids
 from quaylark.llm.kdtree_topk import top_k
@@ -295,6 +295,24 @@ def test_top_k_large_components(spark):
         top_k(spark.createDataFrame([(0, [1e30])], df.schema)).collect()
 
 
+def test_top_k_shards(spark, monkeypatch):
+    """Many shards and cells, ties, repeated ids and components from 2^10 to 2^28, against brute force."""
+    monkeypatch.setattr(kdtree_topk, "SHARD", 40)
+    monkeypatch.setattr(kdtree_topk, "SHARDS", 6)
+    rng = np.random.default_rng(1)
+    x = [(int(i), (rng.integers(-3, 4, 3) * 2.0 ** rng.choice([0, 10, 18])).tolist()) for i in range(500)]
+    x += [(100, [2.0**20, 0.0, 1.0]), (100, [2.0**20, 0.0, 1.0]), (7, x[3][1]), (7, x[3][1])]
+    v = [(i, [math.floor(1024 * y) for y in a]) for i, a in x]
+    want = []
+    for r, (q, a) in enumerate(v):
+        if q % 100 == 0:
+            best = sorted((-sum(s * t for s, t in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(v) if n != r)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    rows = top_k(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_fingerprints(spark):
     texts = [*ODD, " ".join(near_copies(9, 40))]
     got = {r["doc_id"]: r for r in fingerprints(docs(spark, texts), rows_in_bucket=3).collect()}
