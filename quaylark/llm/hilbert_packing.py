@@ -21,6 +21,8 @@ from quaylark.llm.common import mix, small_batches, staged
 DIMENSIONS = 4
 BITS = 12
 END = 1
+#: Bytes of tokens that one task packs, about.
+RANGE_BYTES = 32 << 20
 #: The special token of the vocabulary and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -157,15 +159,18 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, id_col: str
     size is a power of two, path a rank file's (default_path() where None). Null and empty texts are
     END alone; a null id stays null; rows that repeat are each packed, told apart only by where their
     pieces lie. Other columns are ignored. A sequence has size tokens or a smaller power of two, so
-    none is padded. Ties of the key go by id; equal keys may span tasks, as ranges are of both."""
+    none is padded. Ties of the key go by id; equal keys may span tasks, as ranges are of both. Ranges are
+    cut at a sample's quantiles and are as many as the tokens' bytes ask for; another session may cut elsewhere,
+    so sequences may differ from run to run, but never which ids they hold in all."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     tokens = staged(rows.mapInArrow(lambda b: _tokenised(b, path), "id long, key long, tokens binary"))
     dtype = "<u2" if encoder(path).n_vocab <= 1 << 16 else "<u4"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = tokens.agg(F.sum(F.length("tokens")).alias("x")).first()["x"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
     salt = F.xxhash64("tokens")
     ranged = tokens.withColumn("salt", salt).repartitionByRange(parts, "key", "id", "salt").sortWithinPartitions("key", "id", "salt").select("id", "tokens")
     return ranged.mapInArrow(lambda b: _packed(b, size, dtype), PIECES)

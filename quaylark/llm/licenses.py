@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Notices by family: the wording in common use, shortened.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license, see LICENSE for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "SPDX-License-Identifier: MIT"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license, see LICENSE for details.", "The MIT License (MIT)", "Available under the terms of the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "SPDX-License-Identifier: MIT"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0"),
     "GPL": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"),
@@ -41,6 +41,8 @@ SPLIT = r"[^a-z0-9.+-]+"
 #: Words that alone don't make a paragraph worth a look.
 COMMON = frozenset("a an and are as at be by can for from has have in is it may met no not of on or other that the their them this to under was were with you".split())
 LONGEST = 3
+#: Word pairs of a longer template that a short paragraph is compared with at least.
+LEAST_PAIRS = 3
 
 
 def tokens(text: str) -> list[str]:
@@ -135,7 +137,7 @@ def scan_licenses(docs: DataFrame, least_overlap: float = 0.5, id_col: str = "do
     spark = docs.sparkSession
     m = trained()
     k = len(m["names"])
-    base = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode_outer(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line"))
     anchors = F.array(*[F.lit(a) for a in m["anchors"]])
     rough = F.split(F.lower("line"), r"[^a-z0-9]+")
     loose = F.array(*[F.lit(a) for a in sorted({p for a in m["anchors"] for p in re.split("[^a-z0-9]+", a)})])
@@ -157,7 +159,7 @@ def scan_licenses(docs: DataFrame, least_overlap: float = 0.5, id_col: str = "do
     judged = sums.select("doc_id", "times", "pairs", ranked.alias("best"), (e[k - 1] / total).alias("p_none")).where(F.col("p_none") < 0.5)
     # as many rows as there are templates
     known = spark.createDataFrame([(n, [g for g in grams(tokens(t)) if g.count(" ") == 1]) for n, ts in TEMPLATES.items() for t in ts], "name string, template array<string>").groupBy("name").agg(F.collect_list("template").alias("templates"))
-    near = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect("pairs", t)) / F.greatest(F.least(F.size("pairs"), F.size(t)), F.lit(1))))
+    near = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect("pairs", t)) / F.greatest(F.least(F.size("pairs"), F.size(t)), F.least(F.size(t), F.lit(LEAST_PAIRS)), F.lit(1))))
     judged = judged.join(F.broadcast(known), F.col("best.name") == F.col("name"), "left")
     sure = (F.col("best.p") >= m["bound"]) & (near >= least_overlap)
     judged = judged.select("doc_id", "times", F.when(sure, F.col("best.name")).otherwise(UNKNOWN).alias("family"), F.when(sure, F.col("best.p")).otherwise(1 - F.col("p_none")).alias("p"))

@@ -22,7 +22,8 @@ from quaylark.llm.common import mix, small_batches
 WINDOW = 7
 LEAST_BLOCK = 4
 SIGNATURE = 64
-MOST_BUCKETS = 2048
+#: At most so many ranges, and rows to broadcast; tasks stream through larger ranges beyond.
+MOST_BUCKETS = 100_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
 _PART = 1 << 20
@@ -153,19 +154,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document follows itself. Null texts are empty; a null id comes first and stays null; rows that
     repeat are each a document. Other columns are ignored.
 
-    Rows are dealt by ranges of the id, cut at quantiles of the ids, of about rows_in_bucket rows or
-    more beyond MOST_BUCKETS ranges; tasks stream through a range, which also gets the first row of
-    the next."""
+    Rows are dealt by ranges of the id, cut at quantiles of the ids, of about rows_in_bucket rows or, in
+    MOST_BUCKETS ranges, more; tasks
+    stream through a range, which also gets the first row of the next. Rows that share an id, or have none,
+    are in one range, through which its task streams."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n = base.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    parts = max(1, min(MOST_BUCKETS, -(-n // rows_in_bucket)))
+    parts = min(MOST_BUCKETS, -(-n // rows_in_bucket))
     cuts = sorted({int(x) for x in base.approxQuantile("id", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts))}) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("id") >= c)) if cuts else F.lit(0)
-    base = base.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(np.int64), "right"))
+
+    # null ids come first; without nulls the UDF gets longs, not floats
+    base = base.withColumn("bucket", bucket(F.coalesce("id", F.lit(-(2**63)))) if cuts else F.lit(0))
     # of the first rows only ids, one for each range, come to the driver
     firsts = {r["bucket"]: r["id"] for r in base.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("x")).select("bucket", "x.id").collect()}
     order = sorted(firsts)

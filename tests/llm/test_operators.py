@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -129,6 +130,31 @@ def test_lines(spark, texts):
             assert i not in kept
 
 
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_lines_at(spark, percent):
+    texts = ["\n".join(near_copies(s, 12)) for s in range(6)]
+    lines = [(i, k, set(x.split())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    want = {(i, k) for q, (i, k, s) in enumerate(lines) if any(100 * len(s & r) >= percent * len(s | r) for *_, r in lines[:q])}
+    assert {(r["id"], r["line_no"]) for r in duplicate_lines(docs(spark, texts), percent=percent).collect()} == want
+
+
+def test_lines_variants(spark):
+    """Variants of a line that mostly match the base and not each other; long lines; empty table, null and repeated ids."""
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(90)]
+    lines = []
+    for _ in range(60):
+        w = list(base)
+        for i in r.sample(range(90), 6):
+            w[i] = f"x{r.randrange(10_000)}"
+        lines.append(" ".join(w))
+    texts = ["\n".join(lines[:30]), " ".join(base), "\n".join(lines[30:])]
+    assert {(x["id"], x["line_no"]) for x in duplicate_lines(docs(spark, texts)).collect()} == brute_lines(texts)
+    assert duplicate_lines(docs(spark, [])).count() == 0
+    got = duplicate_lines(docs(spark, ["a b c", "a b c", "a b c", "d e"], [1, 1, None, 2])).collect()
+    assert [(x["id"], x["line_no"]) for x in got] in ([], [(1, 0)])
+
+
 def test_lines_white_space(spark):
     df = docs(spark, ["one two three\r\nfour five", "one\ttwo  three\nfour five\x0b\x0c", "one two\nfourfive", "\t\r\n \x0b"])
     assert {(r["id"], r["line_no"]) for r in duplicate_lines(df).collect()} == {(1, 0), (1, 1)}
@@ -155,6 +181,53 @@ def test_licenses(spark):
             assert m["names"][int(licenses.probabilities(t, m).argmax())] == name
 
 
+def brute_license(text, m):
+    """(license, families, paragraphs) by plain Python."""
+    found, count = [], 0
+    for line in (text or "").split("\n"):
+        if not line.strip(" \t\r\x0b\x0c"):
+            continue
+        count += 1
+        words = licenses.tokens(line)
+        if not set(words) & set(m["anchors"]):
+            continue
+        p = licenses.probabilities(line, m)
+        if p[-1] >= 0.5:
+            continue
+        best = max(range(len(licenses.TEMPLATES)), key=lambda i: (p[i], m["names"][i]))
+        pairs = lambda ws: {" ".join(ws[i : i + 2]) for i in range(len(ws) - 1)}
+        near = 0.0
+        for t in licenses.TEMPLATES[m["names"][best]]:
+            own = [g for g in licenses.grams(licenses.tokens(t)) if g.count(" ") == 1]
+            near = max(near, len(pairs(words) & set(own)) / max(min(len(pairs(words)), len(own)), min(len(own), licenses.LEAST_PAIRS), 1))
+        found.append((True, p[best], m["names"][best]) if p[best] >= m["bound"] and near >= 0.5 else (False, 1 - p[-1], licenses.UNKNOWN))
+    return (max(found)[2] if found else None, ",".join(sorted({f[2] for f in found})), count)
+
+
+def test_licenses_by_brute_force(spark):
+    r = random.Random(6)
+    words = sorted({w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()})
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.OTHERS) + list(licenses.ORDINARY)
+    texts = [*ODD, "x " * 40_000 + "\nReleased under the MIT License.", *notices]
+    for _ in range(150):
+        lines = [" ".join(r.choices(words, k=r.randrange(1, 25))) if r.random() < 0.4 else " ".join(w for w in r.choice(notices).split() if r.random() < 0.85) for _ in range(r.randrange(1, 4))]
+        texts.append("\n".join(lines))
+    m = licenses.trained()
+    got = {x["doc_id"]: (x["license"], x["families"], x["paragraphs"]) for x in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {i: brute_license(t, m) for i, t in enumerate(texts)}
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+    assert [x["license"] for x in licenses.scan_licenses(docs(spark, ["Released under the MIT License."], [None])).collect()] == ["MIT"]
+
+
+def test_licenses_held_out(spark):
+    """Notices in wordings that the model has not seen."""
+    held = {"MIT": "This project is distributed under the terms of the MIT License.", "Apache-2.0": "This library is licensed under the Apache License, Version 2.0, see the file for details.", "GPL": "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation.", "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, v. 2.0.", "CC-BY": "The text is licensed under a Creative Commons Attribution 4.0 International License."}
+    plain = ["The general met the public at the gate.", "Der Mann geht in das Haus.", "La source de la rivière est libre.", "A new version of the old song was released."]
+    rows = licenses.scan_licenses(docs(spark, [*held.values(), *plain])).collect()
+    got = {x["doc_id"]: x["license"] for x in rows}
+    assert [got[i] for i in range(len(held))] == list(held) and all(got[len(held) + i] is None for i in range(len(plain)))
+
+
 def test_sampling_law():
     m, n = Model(default_path(), 0.15), 3000
     first, second, p = Counter(), Counter(), {}
@@ -171,6 +244,21 @@ def test_sampling_law():
     assert len({x[0].tobytes() for x in every}) == len(every)
 
 
+def test_sampling_bits(spark):
+    """Equal rows give equal bits whatever stands beside them."""
+    r = random.Random(3)
+    texts = [" ".join(near_copies(i, 5)) for i in range(20)]
+    m = Model(default_path(), 1.0)
+    whole = sample_texts(texts, list(range(20)), 2, m)
+    order = r.sample(range(20), 20)
+    m = Model(default_path(), 1.0)
+    for i in order:
+        alone = sample_texts([texts[i]], [i], 2, m)[0]
+        assert [(x.tobytes(), p, q) for x, p, q in alone] == [(x.tobytes(), p, q) for x, p, q in whole[i]]
+    assert decode(sample_segmentations(docs(spark, ["a\u2581b", None], [None, None]), k=1)).select("text").distinct().count() == 2
+    assert sample_segmentations(docs(spark, [])).count() == 0
+
+
 def test_sampling_round_trip(spark):
     df = docs(spark, ODD)
     out = decode(sample_segmentations(df, k=3)).collect()
@@ -252,18 +340,114 @@ def test_quality(spark):
     assert {x["score"] for x in score_quality(df, labels.limit(0)).collect()} and score_quality(df.limit(0), labels).count() == 0
 
 
-def test_toxicity(spark):
+def test_quality_sites(spark):
+    """Site means by plain sums: no row sees its own label or evidence, priors are fitted by moments."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices("abc defg HIJ! klmno".split(), k=r.randrange(3, 30))), f"p{i % 3}", f"h{i % 4 if i < 180 else 9}", r.random() < (0.9 if i % 4 else 0.2)) for i in range(200)]
+    df = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, lang string, source string")
+    labels = {i: int(y) for i, *_, y in rows if i % 2}
+    got = {x["doc_id"]: x for x in score_quality(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    own = {i: (1.0, float(labels[i])) if i in labels else (0.2, 0.2 * got[i]["evidence"]) for i, *_ in rows}
+    paths, hosts = {}, {}
+    for i, _, path, host, _ in rows:
+        for d, k in ((paths, (host, path)), (hosts, host)):
+            n, s = d.get(k, (0.0, 0.0))
+            d[k] = (n + own[i][0], s + own[i][1])
+    overall = (sum(s for _, s in hosts.values()) + 1) / (sum(n for n, _ in hosts.values()) + 2)
+
+    def weight(groups):
+        groups = [(n, s, p) for n, s, p in groups if n >= 2]
+        more = sum(p * (1 - p) * (n - 1) for n, _, p in groups)
+        rho = (sum((s / n - p) ** 2 * n for n, s, p in groups) - sum(p * (1 - p) for *_, p in groups)) / more
+        return min(max(1 / rho - 1 if rho > 0 else 1000.0, 1.0), 1000.0)
+
+    w1 = weight([(n, s, overall) for n, s in hosts.values()])
+    w2 = weight([(n, s, (hosts[h][1] + w1 * overall) / (hosts[h][0] + w1)) for (h, _), (n, s) in paths.items()])
+    for i, _, path, host, _ in rows:
+        (n, s), (hn, hs), (a, b) = paths[host, path], hosts[host], own[i]
+        mean = (hs - b + w1 * overall) / (hn - a + w1)
+        assert got[i]["site_mean"] == pytest.approx((s - b + w2 * mean) / (n - a + w2))
+
+
+def toxic_texts():
     r = random.Random(4)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
     texts = [" ".join(word() for _ in range(30)) + "." for _ in range(300)]
     toxic = [int(i % 4 == 0) for i in range(300)]
-    texts = [t if not y else t[:40] + " you zorg, " + t[40:] for t, y in zip(texts, toxic, strict=True)]
-    g = toxicity.learn(texts, toxic)
+    return [t if not y else t[:40] + " you zorg, " + t[40:] for t, y in zip(texts, toxic, strict=True)], toxic
+
+
+def marks(spark, toxic):
+    return spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+
+
+def test_composed_machine():
+    """The composed table against the five machines one after the other, and against all arcs of each by hand."""
+    weights = {e: 1 + i / 7 for i, e in enumerate(toxicity.EVENTS)}
+    whole = toxicity.composed(weights)
+    r = random.Random(1)
+    short = [list(x) for n in range(4) for x in itertools.product(toxicity.SYMBOLS, repeat=n)]
+    for symbols in short + [r.choices(toxicity.SYMBOLS, k=r.randrange(4, 30)) for _ in range(2000)]:
+        out, total = symbols, 0.0
+        for m in toxicity.machines(weights):
+            out, w = m.run(out)
+            total += w
+        got, weight = whole.run(symbols)
+        assert got == out and weight == pytest.approx(total)
+        # the same by the scopes themselves
+        said = quoted = False
+        want, threat = [], None
+        for i, s in enumerate(symbols):
+            said, quoted = said or s == "report", quoted != (s == "quote")
+            # a scope is of so many tokens since its last opener
+            back = lambda x, n: x in symbols[max(0, i - n) : i]  # noqa: E731, B023
+            if s in toxicity.INSULTS or s == "threat":
+                marked = s + "|n" * back("negation", 3) + "|r" * (said and quoted) + ("|t" * back("target", 4) if s != "threat" else "")
+                if s == "threat":
+                    threat = (i, marked.removeprefix("threat"))
+                want.append(marked)
+            elif s == "target" and threat and i - threat[0] <= 3:
+                want.append("attack" + threat[1])
+                threat = None
+            else:
+                want.append(s)
+        # an attack takes its target, which then opens no scope for the machines after it, but the target machine is before
+        assert got == want
+
+
+def test_toxicity(spark):
+    texts, toxic = toxic_texts()
+    g = toxicity.train(docs(spark, texts), marks(spark, toxic))
     assert "zorg" in g.words
-    assert toxicity.clause_score(toxicity.classes("you are a zorg".split(), g), g) > toxicity.clause_score(toxicity.classes("you are not a zorg".split(), g), g) > 0
-    out = {x["doc_id"]: x for x in toxicity.score_toxicity(docs(spark, ["you zorg", "fine", None, ""]), g).collect()}
-    assert [out[i]["predicted"] for i in range(4)] == [1, 0, 0, 0] and all(0 <= x["score"] <= 1 for x in out.values())
+    scored = lambda t: toxicity.clause_score([g.number(w) for w in t.split()], g)
+    assert scored("you are a zorg") > scored("you are not a zorg") > 0 == scored("you are fine")
+    out = {x["doc_id"]: x for x in toxicity.score_toxicity(docs(spark, ["you zorg", "fine", None, "", "word " * 30_000]), g).collect()}
+    assert [out[i]["predicted"] for i in range(5)] == [1, 0, 0, 0, 0] and all(0 <= x["score"] <= 1 for x in out.values())
     assert {x["doc_id"] for x in toxicity.without_toxic(docs(spark, ["you zorg", "fine", None, ""]), g).collect()} == {1, 2, 3}
+    new = docs(spark, texts[:40], [*range(38), None, 0])
+    assert sorted(x["score"] for x in toxicity.score_toxicity(new, g).collect()) == pytest.approx(sorted(toxicity.score(t, g) for t in texts[:40]))
+    assert toxicity.score_toxicity(new.limit(0), g).count() == 0
+
+
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    """Rows count, not ids; one label alone teaches nothing; the lexicon is that of plain counts."""
+    texts, toxic = toxic_texts()
+    many = docs(spark, [*texts, *[texts[0]] * 500], [*range(300), *[0] * 500])
+    seen = []
+    monkeypatch.setattr(toxicity, "released", lambda *t: seen.append(t[0].count()))
+    toxicity.train(many, marks(spark, toxic), rows=100)
+    assert max(x for x in seen if x <= 300) <= 100
+    assert toxicity.train(docs(spark, texts), marks(spark, [0] * 300)).words == {}
+    yes, no = Counter(), Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        (yes if y else no).update({w for kind, w in toxicity.terms(t) if kind == "word"})
+    share = math.log((sum(toxic) + 1) / (300 - sum(toxic) + 1))
+    want = {}
+    for w, n in yes.items():
+        z = math.log((n + 0.3) / (no[w] + 0.3)) - share
+        if n >= 3 and z - 2 * math.sqrt(1 / (n + 0.3) + (1 / (no[w] + 0.3) if no[w] else 1)) > 0.7 and w not in toxicity.TARGET:
+            want[w] = z
+    assert toxicity.train(docs(spark, texts), marks(spark, toxic)).words == pytest.approx(want)
 
 
 def test_top_k(spark):

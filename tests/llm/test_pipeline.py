@@ -1,5 +1,8 @@
 import corpus_pipeline as p
+from quaylark.llm import toxicity
 from quaylark.llm.hilbert_packing import encoder, token_ids
+from quaylark.llm.quality import score_quality
+from quaylark.llm.queries import held_out
 from tests.llm.test_operators import brute_components, docs, near_copies
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +74,33 @@ def test_stages_repeated_ids(spark):
     assert near.columns == docs(spark, texts, ids).columns
     got = sorted((r["doc_id"] or 0, r["text"]) for r in near.collect())
     assert got == sorted([(0, one), (0, one), (1, one), (1, two), (2, three), (3, "i j k l m"), (4, "")])
+
+
+def test_toxic_stage(spark):
+    """The stage's rows are those that the learnt grammar scores below 0.5, by plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    g = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet").where(~held_out()))
+    want = {r["doc_id"] for r in docs.collect() if toxicity.score(r["text"], g) < 0.5}
+    assert {r["doc_id"] for r in p.toxicity(spark, docs, SF).collect()} == want
+
+
+def test_quality_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"] for r in score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("good = 1").collect()}
+    assert {r["doc_id"] for r in p.quality(spark, docs, SF).collect()} == want
+
+
+def test_odd_columns_and_ids(spark):
+    """Columns with dots and with names that stages use, null and repeated ids, a null, an empty and a long text."""
+    one = "The first of these lines has quite a number of words.\nAnd the second has some others."
+    texts = [one, None, "", "word " * 60_000, one, "Another text of a few words follows here.", one]
+    ids = [1, 2, 3, 4, 5, 6, None]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, row_number int, row0 int, gone0 int, id int, score double"
+    for own in (ids, [1, 1, 3, 4, 5, 6, None]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n, 77, 1, 2, 3, 0.5) for n, (i, t) in enumerate(zip(own, texts, strict=True))], schema)
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert out.columns == docs.columns and {r["row_number"] for r in rows} <= {77} and rows
+            assert None in {r["doc_id"] for r in rows}
+        assert sum(r["length"] for r in p.packing(spark, docs, SF).collect()) == sum(len(token_ids(t, encoder())) for t in texts)
