@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quaylark.llm.common import staged, table
+from quaylark.llm.common import fresh, released, staged, table
 from quaylark.llm.hilbert_packing import pack
 from quaylark.llm.line_dedup import without_duplicate_lines
 from quaylark.llm.quality import score_quality
@@ -19,10 +18,22 @@ from quaylark.llm.signature_join import jaccard_components
 from quaylark.llm.toxicity import train, without_toxic
 
 
+def plain(docs: DataFrame) -> list:
+    """The columns of docs, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scores = score_quality(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scores.where("good = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier rejects go. Rows that repeat a doc_id are judged each by its own text."""
+    found = keyed(docs)
+    rows, key = found or (docs, "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    if found:
+        # a label is for the id, so for each of its rows
+        labels = labels.join(rows.select("doc_id", key), "doc_id").drop("doc_id")
+    scores = score_quality(rows, labels, id_col=key)
+    bad = scores.where("good = 0").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(bad, key, "left_anti").select(*plain(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +46,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str] | None:
     text), and that column's name; null doc_ids keep a null. None where no doc_id repeats."""
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return None
-    names = {c.lower() for c in docs.columns}
-    key = next(x for x in (f"row{i}" for i in range(10**6)) if x not in names)
+    key = fresh(docs, "row")
     # ids rise along the sorted partitions; written, as they are not drawn twice alike
     rows = docs.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id())
     return staged(rows.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(key)))), key
@@ -47,7 +57,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are documents of their own, earlier by text."""
     if found := keyed(docs):
         rows, key = found
-        return without_duplicate_lines(rows, id_col=key, percent=NEAR_LINES).drop(key)
+        return without_duplicate_lines(rows, id_col=key, percent=NEAR_LINES).select(*plain(docs))
     return without_duplicate_lines(docs, percent=NEAR_LINES)
 
 
@@ -59,10 +69,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = jaccard_components(rows, id_col=key).where("component_id <> id").select(F.col("id").alias(key)).distinct()
     out = rows.join(gone, key, "left_anti")
     if found:
-        w = Window.partitionBy("doc_id", "text").orderBy(key)
-        first = out.where("doc_id is not null").withColumn("row_number", F.row_number().over(w)).where("row_number = 1").select(*docs.columns)
-        return first.unionByName(out.where("doc_id is null").select(*docs.columns))
-    return out.select(*docs.columns)
+        # of rows with an id and text, the first by key; blank ones too, which link with nothing
+        first = out.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(key).alias(key)).select(key)
+        out = out.where("doc_id is null").unionByName(out.join(first, key, "left_semi"))
+    return out.select(*plain(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,13 +81,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
-#: Trained classifiers and the tokenizer aren't SQL; line_dedup and near_duplicates are tested against brute force.
+#: Trained classifiers and the tokenizer aren't SQL. Tests hold the rows of toxicity, line_dedup, near_duplicates and
+#: packing against brute force, and those of quality against the scores of its operator.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        # what a stage has read goes
+        released(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
