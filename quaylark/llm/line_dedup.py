@@ -21,8 +21,8 @@ from quaylark.llm.common import fresh, released, staged, within
 BUCKETS = 1 << 18
 #: Lines of more words have a parity signature of 128 bits, others of 64.
 LONG = 64
-#: Of so many of its rarest tokens each line meets the first lines, before the join.
-RAREST = 2
+#: Of so many tokens at most of its index prefix each line meets the first lines, before the join.
+RAREST = 6
 #: Lets a lambda read the levels, which are a scalar subquery.
 IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 WHERE = ["id", "line_no"]
@@ -136,19 +136,26 @@ def _sets(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class and the first ones with its rarest tokens."""
+    """Pairs of each class and the first lines with its rarest tokens. In a group of near copies most lines match one
+    of these, so that few are left to meet the whole group."""
     by = classes.select("first.*", "n", "bits", "more", F.explode(F.array_compact(F.array(*[f"t{i}" for i in range(RAREST)]))).alias("token"))
-    first = by.groupBy("token").agg(F.min(F.struct(*WHERE, "n", "bits", "more")).alias("x"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token", "x")
-    met = by.select("token", F.struct(*WHERE, "n", "bits", "more").alias("y")).join(first, "token")
+    line = F.struct(*WHERE, "n", "bits", "more")
+    first = by.groupBy("token").agg(F.min(line).alias("x"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token", "x")
+    met = by.select("token", line.alias("y")).join(first, "token")
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _few_apart(percent) & _before("x", "y")
     return staged(_pairs(met.where(close)).distinct())
 
 
+def _last_indexed(n: Column, percent: int) -> Column:
+    """The last place of the index prefix: a line of n words and a match with as many or more share a token up to it."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent))
+
+
 def _joined(lines: DataFrame, percent: int) -> DataFrame:
     """Pairs of lines (id, line_no, n, bits, more, prefix, open) that share a prefix token and whose later one is open;
     x is the one with fewer words, or the earlier of as many."""
     own = lines.select(*WHERE, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
-    x = own.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).alias("x")
+    x = own.where(F.col("at") <= _last_indexed(F.col("n"), percent)).alias("x")
     # the words from the shared token on are as many as the overlap needs, in both
     rest = lambda a, b: F.col(f"{a}.n").cast("long") * 100 - F.col(f"{a}.at").cast("long") * (100 + percent) >= F.col(f"{b}.n").cast("long") * percent
     near = rest("x", "y") & rest("y", "x") & (F.col("x.n") <= F.col("y.n"))
@@ -173,7 +180,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _spaced(F.col(f"`{text_col}`").cast("string")).alias("text")).where("id is not null and text is not null")
     made = _sets(texts, percent)
     sets, name = made.where("n > 0"), ["set", "set2", "n"]
-    tokens = [F.first(F.get("prefix", i)).alias(f"t{i}") for i in range(RAREST)]
+    tokens = [F.first(F.when(_last_indexed(F.col("n"), percent) >= i, F.get("prefix", i))).alias(f"t{i}") for i in range(RAREST)]
     classes = staged(sets.groupBy(*name).agg(F.min(F.struct(*WHERE)).alias("first"), F.first("bits").alias("bits"), F.first("more").alias("more"), *tokens, F.count(F.lit(1)).alias("copies")))
     copied = classes.where("copies > 1").select(*name, "first")
     copies = staged(sets.select(*WHERE, *name).join(copied, name).where(F.struct(*WHERE) > F.col("first")).select(*WHERE).distinct())
