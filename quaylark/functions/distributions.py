@@ -131,6 +131,39 @@ class NegativeBinomial(_Counts):
         return NegativeBinomial(a, m / a), hi - lo < max(tolerance, 1e-8)
 
 
+    @staticmethod
+    def volume_weighted_mle(rows: list[tuple[int, float, int]], rounds: int = 200, tolerance: float = 1e-8) -> tuple[NegativeBinomial | Poisson, bool]:
+        """The fit to (count, volume, how often): a count of volume v has parameters a and b v. For each a the b
+        that solves the likelihood's equation; a by golden section. A Poisson where counts aren't overdispersed."""
+        k, v, c = (np.array(x, float) for x in zip(*rows, strict=True))
+        rate = float((k * c).sum() / (v * c).sum())
+        if (c * ((k - rate * v) ** 2 - k)).sum() <= 0:
+            return Poisson(rate), True
+        values, place = np.unique(k, return_inverse=True)
+
+        def scale(a: float) -> float:
+            lo, hi = rate / a * 1e-3, rate / a * 1e3
+            for _ in range(100):
+                b = math.sqrt(lo * hi)
+                lo, hi = (b, hi) if (c * (k / b - (a + k) * v / (1 + b * v))).sum() > 0 else (lo, b)
+            return b
+
+        def fit(log_a: float) -> float:
+            a = math.exp(log_a)
+            b = scale(a)
+            rising = np.array([math.lgamma(a + x) - math.lgamma(a) for x in values])
+            return -float((c * (rising[place] + k * np.log(b * v / (1 + b * v)) - a * np.log1p(b * v))).sum())
+
+        lo, hi, g = -12.0, 18.0, (math.sqrt(5) - 1) / 2
+        for _ in range(rounds):
+            if hi - lo < tolerance:
+                break
+            x, y = hi - g * (hi - lo), lo + g * (hi - lo)
+            lo, hi = (lo, y) if fit(x) < fit(y) else (x, hi)
+        a = math.exp((lo + hi) / 2)
+        return NegativeBinomial(a, scale(a)), hi - lo < max(tolerance, 1e-6)
+
+
 @dataclass(frozen=True)
 class Pareto:
     scale: float
@@ -307,6 +340,8 @@ class Trend:
     log_likelihood: float
     aic: float
     df: int
+    #: Of the intercept at the centre year and the slope: centre, variance, covariance, variance.
+    centred: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
 
     def significant(self, alpha: float = 0.05) -> bool:
         return self.p_slope < alpha
@@ -342,7 +377,8 @@ def fit_trend(years: list[int], counts: list[int], theta: float | None = None, r
     mu = np.exp(x @ beta)
     w = mu * mu / spread(mu)
     back = np.array([[1.0, -centre], [0.0, 1.0]])
-    cov = back @ np.linalg.inv((x * w[:, None]).T @ x) @ back.T
+    own_cov = np.linalg.inv((x * w[:, None]).T @ x)
+    cov = back @ own_cov @ back.T
     beta = back @ beta
     se = np.sqrt(np.diag(cov))
     null, own = deviance(np.full(n, y.mean())), deviance(mu)
@@ -351,4 +387,4 @@ def fit_trend(years: list[int], counts: list[int], theta: float | None = None, r
     d = [Poisson(m) if theta is None else NegativeBinomial(theta, m / theta) for m in mu]
     ll = math.fsum(a.log_probability_of(int(k)) for a, k in zip(d, counts, strict=True))
     p = [normal_p(b / s) for b, s in zip(beta, se, strict=True)]
-    return Trend(float(beta[0]), float(beta[1]), float(se[0]), float(se[1]), p[0], p[1], null, own, dispersion, f, f_p(f, 1, n - 2), ll, 4 - 2 * ll, n - 2)
+    return Trend(float(beta[0]), float(beta[1]), float(se[0]), float(se[1]), p[0], p[1], null, own, dispersion, f, f_p(f, 1, n - 2), ll, 4 - 2 * ll, n - 2, (centre, float(own_cov[0, 0]), float(own_cov[0, 1]), float(own_cov[1, 1])))

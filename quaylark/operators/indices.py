@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,17 +28,23 @@ class PeriodIndex:
 
     def factor(self, period: int) -> float:
         """The product of the first period indices; none for 0 and less, all beyond the last."""
-        return math.prod(self.indices[: max(0, min(period, len(self.indices)))])
+        return math.prod(self.indices[: max(0, min(period, self.num_periods))], start=1.0)
+
+    @property
+    def num_periods(self) -> int:
+        return len(self.indices)
 
     def factors(self, k: int) -> list[float]:
         return [self.factor(i) for i in range(k)]
 
     def on_level(self, df: DataFrame, value: str = "amount", period: str = "period") -> DataFrame:
-        """df with on_level: value times its period's factor. One row for each period is broadcast."""
-        n = len(self.indices)
-        table = df.sparkSession.createDataFrame([(i, self.factor(i)) for i in range(n + 1)], "__period int, __factor double")
-        at = F.greatest(F.lit(0), F.least(F.col(period), F.lit(n))).cast("int")
-        return df.withColumn("__period", at).join(F.broadcast(table), "__period").withColumn("on_level", F.col(value) * F.col("__factor")).drop("__period", "__factor")
+        """df with on_level: value times its period's factor."""
+        return df.withColumn("on_level", F.col(value) * self.factor_of(F.col(period)))
+
+    def factor_of(self, period: Column) -> Column:
+        """The factor of a column of periods, looked up in a literal of as many factors as there are periods."""
+        at = F.greatest(F.lit(0), F.least(period, F.lit(self.num_periods))).cast("int")
+        return F.get(F.array(*[F.lit(x) for x in self.factors(self.num_periods + 1)]), at)
 
 
 @dataclass(frozen=True)
@@ -58,6 +64,10 @@ class YearIndex:
     def from_rate_changes(years: list[int], percents: list[float]) -> YearIndex:
         return YearIndex(tuple(years), tuple(1 + p / 100 for p in percents), max(years))
 
+    @property
+    def num_years(self) -> int:
+        return len(self.years)
+
     @property
     def earliest(self) -> int:
         return min(self.years)
@@ -76,7 +86,7 @@ class YearIndex:
         return self._periods().factor(self.current_year - year)
 
     def on_level(self, df: DataFrame, value: str = "amount", year: str = "year") -> DataFrame:
-        return self._periods().on_level(df.withColumn("__back", self.current_year - F.col(year)), value, "__back").drop("__back")
+        return df.withColumn("on_level", F.col(value) * self._periods().factor_of(F.lit(self.current_year) - F.col(year)))
 
     def new_threshold(self, threshold: float) -> float:
         return threshold * self.factor(self.latest)

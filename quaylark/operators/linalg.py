@@ -14,6 +14,8 @@ EPS = 2.22e-16
 
 
 def dense(df: pd.DataFrame) -> np.ndarray:
+    if not len(df):
+        raise ValueError("a right side has no matrix of its id")
     m = np.zeros((int(df["row"].max()) + 1, int(df["col"].max()) + 1))
     m[df["row"], df["col"]] = df["value"]
     return m

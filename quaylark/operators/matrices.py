@@ -117,6 +117,11 @@ def random(spark, rows: int, cols: int, seed: int) -> DataFrame:
     return filled(spark, rows, cols, F.rand(seed))
 
 
+def random_ints(spark, rows: int, cols: int, low: int, high: int, seed: int) -> DataFrame:
+    """Whole numbers from low to below high."""
+    return filled(spark, rows, cols, F.floor(F.rand(seed) * (high - low)) + low)
+
+
 def tiled(m: DataFrame, rows: int, cols: int, down: int, across: int) -> DataFrame:
     t = m.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     return t.select("mat_id", (F.col("row") + F.col("__d") * rows).alias("row"), (F.col("col") + F.col("__a") * cols).alias("col"), "value")
@@ -206,7 +211,9 @@ class NDArray:
         return NDArray(rows, self.shape)._remade(columns, tuple(shape))
 
     def combine(self, other: NDArray, f: Callable[[Column, Column], Column]) -> NDArray:
-        """Shapes must be equal, but for a single value."""
+        """Shapes must be equal, but for a single value on either side."""
+        if not self.shape and other.shape:
+            return other.combine(self, lambda x, y: f(y, x))
         if not other.shape:
             x = F.broadcast(other.rows.select(F.col("value").alias("__b")))
             return NDArray(self.rows.join(x).select(*self.axes, f(F.col("value"), F.col("__b")).alias("value")), self.shape)

@@ -41,12 +41,12 @@ def pearson_residuals(df: DataFrame, value: str, dist) -> DataFrame:
 
 
 def trend_rows(spark: SparkSession, trend: Trend, first: int, last: int) -> DataFrame:
-    """(year, fit, low, high) with 95 % bounds by the standard errors of both coefficients."""
-    y = F.col("id")
-    eta = trend.intercept + trend.slope * y
-    mid = (first + last) / 2
-    se = F.sqrt(F.pow(trend.se_slope * (y - mid), F.lit(2)))
-    return spark.range(first, last + 1).select(y.cast("int").alias("year"), F.exp(eta).alias("fit"), F.exp(eta - 1.96 * se).alias("low"), F.exp(eta + 1.96 * se).alias("high"))
+    """(year, fit, low, high) with 95 % bounds by the coefficients' variances and covariance."""
+    centre, intercept, both, slope = trend.centred
+    t = F.col("id") - centre
+    eta = trend.intercept + trend.slope * F.col("id")
+    se = F.sqrt(intercept + 2 * both * t + slope * t * t)
+    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"), F.exp(eta).alias("fit"), F.exp(eta - 1.96 * se).alias("low"), F.exp(eta + 1.96 * se).alias("high"))
 
 
 def log_log_survival(df: DataFrame, value: str, tie: str) -> DataFrame:

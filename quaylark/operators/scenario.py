@@ -6,10 +6,13 @@ import functools
 from dataclasses import dataclass, replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+EVENTS = "iteration int, day int, seq long, id long, amount double"
+
+
 @dataclass(frozen=True)
 class Scenario:
     """Events and what is the same for all of them."""
@@ -75,6 +78,18 @@ class Scenario:
         return by.crossJoin(F.broadcast(self.events.agg(F.sum("amount").alias("total")))).select("year", "month", (F.col("amount") / F.col("total")).alias("share"))
 
 
+def empty(spark: SparkSession) -> Scenario:
+    """The identity of combine: no events, no iterations."""
+    return Scenario(spark.createDataFrame([], EVENTS), 0, name="empty")
+
+
+def sample(spark: SparkSession, n: int = 15, seed: int = 0) -> Scenario:
+    """n random events over 10 iterations, a year's days and amounts from 100 to 1100."""
+    whole = lambda i, most: (F.floor(F.rand(seed + i) * most) + 1).cast("int")
+    e = spark.range(n).select(whole(1, 10).alias("iteration"), whole(2, 365).alias("day"), F.col("id").alias("seq"), F.xxhash64("id", F.lit(seed)).alias("id"), (F.rand(seed + 3) * 1000 + 100).alias("amount"))
+    return Scenario(e, 10, name="sample")
+
+
 def with_ids(events: DataFrame, seed: int = 0) -> DataFrame:
     """Ids from the row's own values, so that equal input gives equal ids."""
     return events.withColumn("id", F.xxhash64("iteration", "day", "seq", "amount", F.lit(seed)))

@@ -38,7 +38,7 @@ def tail_count(n: int, alpha: float) -> int:
 def var_tvar(df: DataFrame, alphas: list[float], value: str, tie: str) -> DataFrame:
     """(cl, var, tvar) for each alpha; losses are low values. No value in the tail gives NaN."""
     n = df.count()
-    r = ranked(df, value, tie).cache()
+    r = ranked(df, value, tie)
     rows = []
     for a in alphas:
         k = tail_count(n, a)
@@ -94,9 +94,18 @@ def pickands_plot(df: DataFrame, value: str, tie: str, k_min: int = 1, k_max: in
     return j.select("k", gamma.alias("gamma")).withColumn("alpha", F.when(~F.isnan("gamma") & (F.col("gamma") > 0), 1 / F.when(F.col("gamma") != 0, F.col("gamma"))).otherwise(math.nan))
 
 
-def stable_region(plot: DataFrame, value: str = "estimate", window: int = 10, threshold: float = 0.1) -> DataFrame:
-    """(k_start, k_end, mean) of the window with the least coefficient of variation, if below threshold."""
+def stable_region(plot: DataFrame, value: str = "estimate", window: int = 10, threshold: float = 0.1, above_zero: bool = False) -> DataFrame:
+    """(k_start, k_end, mean) of the first window of consecutive rows, all finite, with the least coefficient of
+    variation, if that is below threshold; above_zero asks for a positive mean."""
     w = Window.orderBy("k").rowsBetween(0, window - 1)
-    s = plot.where(~F.isnan(value)).select("k", F.count(F.lit(1)).over(w).alias("c"), F.max("k").over(w).alias("k_end"), F.avg(value).over(w).alias("mean"), F.stddev_pop(value).over(w).alias("sd"))
-    s = s.where((F.col("c") == window) & (F.col("mean") > 0)).withColumn("cv", F.col("sd") / F.col("mean")).where(F.col("cv") < threshold)
-    return s.agg(F.min(F.struct("cv", "k", "k_end", "mean")).alias("x")).where("x is not null").select(F.col("x.k").alias("k_start"), "x.k_end", "x.mean")
+    x = F.col(value)
+    finite = F.count(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), 1)).over(w)
+    s = plot.select("k", finite.alias("finite"), F.max("k").over(w).alias("k_end"), F.avg(x).over(w).alias("mean"), F.stddev_pop(x).over(w).alias("sd"))
+    s = s.where((F.col("finite") == window) & (F.col("mean") != 0)).withColumn("cv", F.col("sd") / F.abs("mean")).where(F.col("cv") < threshold)
+    best = s.agg(F.min(F.struct("cv", "k", "k_end", "mean")).alias("x")).where("x is not null").select(F.col("x.k").alias("k_start"), "x.k_end", "x.mean")
+    return best.where("mean > 0") if above_zero else best
+
+
+def pickands_stable_region(plot: DataFrame, window: int = 5, threshold: float = 0.2) -> DataFrame:
+    """(k_start, k_end, gamma, alpha) of the stable region of gamma, alpha its inverse."""
+    return stable_region(plot, "gamma", window, threshold, True).select("k_start", "k_end", F.col("mean").alias("gamma"), (1 / F.col("mean")).alias("alpha"))

@@ -13,6 +13,16 @@ from quaylark.functions.layers import SPLITS
 from quaylark.operators.grouping import ordered, running
 
 
+@dataclass(frozen=True)
+class Sublayer:
+    """The occurrence or the aggregate terms of a layer."""
+
+    limit: float | None
+    retention: float | None
+    over: str
+    kind: str
+
+
 @dataclass(frozen=True)
 class Layer:
     """Terms of a layer. Types are retention, franchise or reverse_franchise. Of the terms that don't
@@ -54,6 +64,19 @@ class Layer:
             return math.inf
         return {"retention": self.occ_limit + (self.occ_retention or 0.0), "franchise": self.occ_limit, "reverse_franchise": math.nan}[self.occ_type]
 
+    @property
+    def occ_layer(self) -> Sublayer:
+        return Sublayer(self.occ_limit, self.occ_retention, "occurrence", self.occ_type)
+
+    @property
+    def agg_layer(self) -> Sublayer:
+        return Sublayer(self.agg_limit, self.agg_retention, "aggregate", self.agg_type)
+
+    def shown(self, term: str) -> str | None:
+        """A term as text, None where it isn't set."""
+        x = getattr(self, term)
+        return None if x is None else str(x)
+
     def scaled(self, by: float) -> Layer:
         times = lambda x: None if x is None else x * by
         return replace(self, occ_limit=times(self.occ_limit), occ_retention=times(self.occ_retention), agg_limit=times(self.agg_limit), agg_retention=times(self.agg_retention))
@@ -129,15 +152,20 @@ def loss_report(split_events: DataFrame, tower: Tower, n: int, denominator: str
 
     el and std_dev are of the yearly ceded amounts over the denominator (first_limit, agg_limit or a
     number); an infinite one gives 0. A layer is exhausted within 0.01 of its aggregate limit, after
-    its share. One pass over the yearly amounts gives all figures."""
-    totals = layer_totals(split_events, tower, n)
+    its share. One pass over the amounts of the years with events gives all figures; the others are zeros,
+    known by their number."""
+    ks = range(len(tower.layers))
+    by = split_events.where(F.col("iteration").between(1, n)).groupBy("iteration").agg(*[F.sum(f"ceded_{i}").alias(f"total_{i}") for i in ks])
     structs = []
     for k, x in enumerate(tower.layers):
         over = x.first_limit if denominator == "first_limit" else (x.agg_limit if x.agg_limit is not None else math.inf) if denominator == "agg_limit" else float(denominator)
         t = F.col(f"total_{k}")
         hit = F.count(F.when(t > x.agg_limit - 0.01, 1)) if x.agg_limit is not None else F.lit(0)
-        structs.append(F.struct(F.lit(k).alias("layer"), F.lit(x.name or x.auto_name).alias("name"), F.lit(float(over)).alias("limit"), (F.avg(t) / over).alias("el"), (F.stddev_pop(t) / over).alias("std_dev"), (F.count(F.when(t > 0, 1)) / n).alias("attach_prob"), (hit / n).alias("exhaust_prob")))
-    return totals.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+        m, own = F.count(t), F.coalesce(F.avg(t), F.lit(0.0))
+        mean = F.coalesce(F.sum(t), F.lit(0.0)) / n
+        square = (m * (F.coalesce(F.var_pop(t), F.lit(0.0)) + F.pow(own - mean, F.lit(2))) + (n - m) * F.pow(mean, F.lit(2))) / n
+        structs.append(F.struct(F.lit(k).alias("layer"), F.lit(x.name or x.auto_name).alias("name"), F.lit(float(over)).alias("limit"), (mean / over).alias("el"), (F.sqrt(square) / over).alias("std_dev"), (F.count(F.when(t > 0, 1)) / n).alias("attach_prob"), (hit / n).alias("exhaust_prob")))
+    return by.agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
 def attachment_probability(report: DataFrame) -> DataFrame:
