@@ -43,7 +43,7 @@ def _occ(x: Layer) -> str:
         return f"CASE WHEN {a} > {ret} THEN least({a}, {lim}) ELSE 0 END"
     if x.occ_type == "reverse_franchise":
         return f"least(CASE WHEN {a} <= {ret} THEN {a} ELSE 0 END, {lim})"
-    return f"least(greatest({a} - {ret}, 0), {lim})"
+    return f"least(greatest({a} - {ret}, 0), {'1e300' if lim is None else lim})"
 
 
 def _split_sql(tower: Tower, tail_sql: str) -> str:
@@ -389,35 +389,10 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "iteration", "events", F.round("total", 4).alias("total"))
 
 
-@query("determinants")
-def determinants(spark: SparkSession, d: str) -> DataFrame:
-    """Of the 8 x 8 matrices that the vectors make, row by row."""
-    m = _rows(spark, d).select(F.col("vec_id").alias("mat_id"), F.floor(F.col("idx") / 8).cast("int").alias("row"), (F.col("idx") % 8).alias("col"), "value")
-    return linalg.by_matrix(m, "det").select("mat_id", "value")
-
-
-@query("singular_values")
-def singular_values(spark: SparkSession, d: str) -> DataFrame:
-    m = _rows(spark, d).select(F.col("vec_id").alias("mat_id"), F.floor(F.col("idx") / 8).cast("int").alias("row"), (F.col("idx") % 8).alias("col"), "value")
-    return linalg.by_matrix(m, "s").select("mat_id", "row", "value")
-
-
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     return g.group_count(losses(spark, d), N)
 
 
-@query("rootogram")
-def rootogram(spark: SparkSession, d: str) -> DataFrame:
-    c = _counts(spark, d)
-    return plots.rootogram(c, "events", Poisson.mle(histogram(c, "events"))[0])
-
-
-@query("ecdf_vs_cdf")
-def ecdf_vs_cdf(spark: SparkSession, d: str) -> DataFrame:
-    c = _counts(spark, d)
-    return plots.ecdf_vs_cdf(c, "events", Poisson.mle(histogram(c, "events"))[0])
-
-
 @query("poisson_trend")
 def poisson_trend(spark: SparkSession, d: str) -> DataFrame:
     by = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).count().orderBy("year").collect()

@@ -160,3 +160,81 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "bad").write_text("1,2\n3\n")
     with pytest.raises(ValueError):
         d.load_matrix(spark, str(tmp_path / "bad"))
+
+
+def test_on_level(spark):
+    p = PeriodIndex.from_rate_changes([5, 3, 2])
+    df = spark.createDataFrame([(0, 100.0), (1, 200.0), (2, 300.0), (9, 100.0), (-1, 100.0)], "period int, amount double")
+    got = {r["period"]: r["on_level"] for r in p.on_level(df).collect()}
+    assert got == {0: 100, 1: pytest.approx(210), 2: pytest.approx(324.45), 9: pytest.approx(110.313), -1: 100}
+    y = YearIndex((2024, 2023, 2022), p.indices, 2024)
+    df = spark.createDataFrame([(2024, 100.0), (2022, 300.0)], "year int, amount double")
+    assert [r["on_level"] for r in y.on_level(df).orderBy("year").collect()] == pytest.approx([324.45, 100])
+    assert (y.num_years, y.earliest, y.latest, p.num_periods, PeriodIndex(()).factor(3)) == (3, 2022, 2024, 3, 1.0)
+
+
+def test_stable_region(spark):
+    """Windows with a gap don't count; of equal windows the first."""
+    nan = math.nan
+    rows = [(1, 0.5), (2, nan), (3, 0.5), (4, nan), (5, 0.5), (6, 0.5), (7, 0.6), (8, 0.5), (9, 0.5), (10, 0.5)]
+    plot = spark.createDataFrame(rows, "k int, gamma double")
+    assert tuple(tail.pickands_stable_region(plot, 3).first()) == pytest.approx((8, 10, 0.5, 2.0))
+    assert tail.stable_region(plot, "gamma", 7).count() == 0
+    below = spark.createDataFrame([(k, -0.5) for k in range(5)], "k int, gamma double")
+    assert tail.pickands_stable_region(below, 3).count() == 0
+
+
+def test_trend_bounds(spark):
+    """Bounds by the whole covariance: the variance of intercept + slope * year."""
+    from quaylark.operators.plots import trend_rows
+
+    years, counts = list(range(2000, 2012)), [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    t = fit_trend(years, counts)
+    centre, a, b, c = t.centred
+    assert a + 2 * b * -centre + c * centre**2 == pytest.approx(t.se_intercept**2, rel=1e-6) and c == pytest.approx(t.se_slope**2)
+    for r in trend_rows(spark, t, 2000, 2011).collect():
+        x = r["year"] - centre
+        half = 1.96 * math.sqrt(a + 2 * b * x + c * x * x)
+        assert math.log(r["high"] / r["fit"]) == pytest.approx(half) == pytest.approx(math.log(r["fit"] / r["low"]))
+        assert half > 0.1
+
+
+def test_volume_weighted():
+    """The fit undoes the volumes: expected counts of the true distributions give its parameters back."""
+    rows = [(k, v, round(1e7 * NegativeBinomial(3.2, 0.8 * v).probability_of(k))) for v in (0.5, 2.0) for k in range(60)]
+    n, done = NegativeBinomial.volume_weighted_mle([r for r in rows if r[2]])
+    assert done and (n.a, n.b) == (pytest.approx(3.2, abs=0.01), pytest.approx(0.8, abs=0.01))
+    same, _ = NegativeBinomial.volume_weighted_mle([(k, 2.0, 10) for k in (1, 2, 3)])
+    assert isinstance(same, Poisson) and same.rate == pytest.approx(1)
+
+
+def test_solve_without_matrix(spark):
+    m = spark.createDataFrame([(0, 0, 0, 2.0)], "mat_id long, row int, col int, value double")
+    b = spark.createDataFrame([(1, 0, 3.0)], "mat_id long, idx int, value double")
+    with pytest.raises(Exception, match="no matrix"):
+        linalg.solved(m, b).collect()
+
+
+def test_streamed_losses(spark, tmp_path):
+    """The windowed losses of a stream are those of the batch."""
+    from quaylark.streaming.losses import windowed_losses
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = windowed_losses(stream).writeStream.outputMode("complete").format("memory").queryName("losses").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    same = lambda df: sorted((r["start"], r["iteration"], r["events"], round(r["total"], 4)) for r in df.collect())
+    assert same(spark.table("losses")) == same(windowed_losses(rows))
+
+
+def test_text_order(spark, tmp_path):
+    """Rows follow the order of the files' names; an array goes on from file to file; blank lines don't count."""
+    from quaylark.sources import delimited as d
+
+    for i in (2, 0, 1):
+        (tmp_path / f"part-{i}").write_text("".join(f"{10 * i + j},{10 * i + j + 0.5}\n\n" for j in range(4)))
+    want = [x for i in range(3) for j in range(4) for x in (10 * i + j, 10 * i + j + 0.5)]
+    assert [r["value"] for r in d.load_array(spark, str(tmp_path)).orderBy("idx").collect()] == want
+    assert [r["value"] for r in d.load_array(spark, str(tmp_path), drop_rows=5).orderBy("idx").collect()] == want[10:]
+    assert [r["value"] for r in d.load_matrix(spark, str(tmp_path)).where("col = 0").orderBy("row").collect()] == want[::2]
