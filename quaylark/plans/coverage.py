@@ -224,7 +224,7 @@ def negative_binomial(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame([(k, n.probability_of(k), n.cdf(k)) for k in range(30)], "k int, p double, cdf double"), 9, "p", "cdf")
 
 
-@query("pareto", "SELECT round(x, 6) AS x, CASE WHEN x < 3 THEN 0.0 ELSE round(1 - pow(3 / x, 2.5), 9) END AS cdf FROM (SELECT 1 + range * 0.5 AS x FROM range(40))")
+@query("pareto", "SELECT round(x, 6)::DOUBLE AS x, CASE WHEN x < 3 THEN 0.0 ELSE round(1 - pow(3 / x, 2.5), 9) END AS cdf FROM (SELECT 1 + range * 0.5 AS x FROM range(40))")
 def pareto(spark: SparkSession, d: str) -> DataFrame:
     p = Pareto(3.0, 2.5)
     return rounded(spark.createDataFrame([(1 + i * 0.5, p.cdf(1 + i * 0.5)) for i in range(40)], "x double, cdf double"), 9, "x", "cdf")
@@ -286,7 +286,7 @@ def outer_trace(spark: SparkSession, d: str) -> DataFrame:
     return a.select("vec_id", F.round(t, 6).alias("trace"), F.size("o").cast("long").alias("n"))
 
 
-@query("linspace", "SELECT range::INTEGER AS idx, round(1 + range * 0.25, 9) AS value FROM range(13)")
+@query("linspace", "SELECT range::INTEGER AS idx, round(1 + range * 0.25, 9)::DOUBLE AS value FROM range(13)")
 def linspace(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.range(1).select(F.posexplode(v.linspace(1.0, 4.0, 13)).alias("idx", "value")), 9, "value")
 
