@@ -19,6 +19,8 @@ LOWER = UPPER.lower()
 PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch where rows carry whole texts.
 TEXT_BATCH_ROWS = 256
+#: Bytes of an Arrow batch, about, but for a single longer row.
+BATCH_BYTES = 8 << 20
 #: Bits of the filter of within, and of one of its rows: 2048 rows of 4 KB at most are broadcast, whatever the input.
 FILTER_BITS, ROW_BITS = 26, 15
 
@@ -34,6 +36,7 @@ def ascii_lower(col: Column) -> Column:
 def small_batches(spark: SparkSession) -> None:
     """Rows with whole texts travel to Python in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 _SCRATCH: dict[str, SparkSession] = {}

@@ -218,10 +218,24 @@ def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
         yield pd.DataFrame(rows, columns=columns)
     for a in range(0, COUNT_BUCKETS, SLICE) if counts.any() else ():
-        rows = [(1, a, TaskContext.get().partitionId(), 0, 0, 0, 0, counts[a : a + SLICE].tobytes())]
+        rows = [(1, a, TaskContext.get().partitionId(), 0, 0, 0, 0, _packed(counts[a : a + SLICE]))]
         yield pd.DataFrame(rows, columns=columns)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """All counts, or places and counts of those above 0 where that is shorter."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 2 * len(at) >= len(counts) else np.concatenate((at, counts[at])).tobytes()
+
+
+def _add(total: np.ndarray, packed: bytes) -> None:
+    x = np.frombuffer(packed, np.int64)
+    if len(x) == len(total):
+        total += x
+    else:
+        total[x[: len(x) // 2]] += x[len(x) // 2 :]
+
+
 PROFILE = "kind int, id long, n long, s1 long, s2 long, k0 long, k1 long, counts binary"
 
 
@@ -229,13 +243,15 @@ def _counts(profile: DataFrame) -> np.ndarray:
     """The corpus count of each bucket of shingles, summed in two steps; COUNT_BUCKETS numbers."""
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(x, np.int64) for x in df["counts"]), np.zeros(SLICE, np.int64))
-        return pd.DataFrame({"id": df["id"].iloc[:1], "counts": [total.tobytes()]})
+        total = np.zeros(SLICE, np.int64)
+        for x in df["counts"]:
+            _add(total, x)
+        return pd.DataFrame({"id": df["id"].iloc[:1], "counts": [_packed(total)]})
 
     some = profile.where("kind = 1").select("id", (F.col("n") % 32).alias("part"), "counts").groupBy("id", "part").applyInPandas(add, "id long, counts binary")
     out = np.zeros(COUNT_BUCKETS, np.int64)
     for r in some.groupBy("id").applyInPandas(add, "id long, counts binary").toLocalIterator():
-        out[r["id"] : r["id"] + SLICE] = np.frombuffer(r["counts"], np.int64)
+        _add(out[r["id"] : r["id"] + SLICE], r["counts"])
     return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
 
