@@ -32,6 +32,8 @@ MOST_ARCS = 4_000_000
 LONG = 64
 #: Characters of texts that are searched in step.
 GROUP_CHARS = 400_000
+#: Ids that are decoded at once.
+DECODED_IDS = 200_000
 _MODELS: dict[str, "Model"] = {}
 
 
@@ -107,6 +109,9 @@ class Model:
         for p, (i, w) in self.weight.items():
             self.state_id[states[p]], self.state_weight[states[p]] = i, math.log(w)
         self.deepest = max(map(len, self.weight))
+        #: characters that are pieces; whether weights of LONG of them multiply to a number
+        self.singles = {p for p in self.weight if len(p) == 1}
+        self.linear = LONG * math.log(min(w for _, w in self.weight.values())) > -690
 
     def fresh(self) -> None:
         #: by arc: cumulative probability within the node, log-probability given the node, log of the others',
@@ -133,11 +138,18 @@ class Model:
         return [np.fromiter(map(at, ws), np.int64, len(ws)) for ws in words]
 
     def _build(self, short: list[str], long: list[str]) -> None:
-        for group in ([short[i : i + 20_000] for i in range(0, len(short), 20_000)] if short else []) + [[w] for w in long]:
-            self._lattices(group)
-
-    def _lattices(self, words: list[str]) -> None:
-        """Adds the lattices of words. Each has a slot for each character and one for its end."""
+        # a word's sums are made in the same way in any batch
+        plain = [w for w in short if self.singles.issuperset(w)] if self.linear else []
+        odd = [w for w in short if not self.singles.issuperset(w)] if self.linear else short
+        for words, linear in ((plain, True), (odd, False)):
+            for i in range(0, len(words), 20_000):
+                self._lattices(words[i : i + 20_000], linear)
+        for w in long:
+            self._lattices([w], False)
+
+    def _lattices(self, words: list[str], linear: bool) -> None:
+        """Adds the lattices of words. Each has a slot for each character and one for its end. linear: whether
+        no product of weights along a word underflows."""
         sizes = np.array([len(w) for w in words])
         chars = np.frombuffer("\0".join(words).encode("utf-32-le", "surrogatepass") + bytes(4), np.uint32).astype(np.int64)
         n = len(chars)
@@ -180,17 +192,26 @@ class Model:
         order = np.argsort(src * 64 - length, kind="stable")
         src, dst, ident, log_w = src[order], (src + length)[order], ident[order], log_w[order]
         slots = np.flatnonzero(distance > 0)
-        arc_at = np.searchsorted(src, slots)
+        # every slot has an arc
+        arc_at = np.flatnonzero(np.diff(src, prepend=-1))
         # sums from the right, in logarithms, all slots of a distance to the end at once
         z, far = np.zeros(n), distance[src].astype(np.int16 if n < 1 << 15 or len(words) > 1 else np.int64)
         by = np.argsort(far, kind="stable")
         cuts = np.flatnonzero(np.diff(far[by], prepend=-1))
+        if linear:
+            sums, weight = np.ones(n), np.exp(log_w)
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
             part = by[a:b]
+            own = src[part]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            if linear:
+                sums[own[first]] = np.add.reduceat(weight[part] * sums[dst[part]], first)
+                continue
             x = log_w[part] + z[dst[part]]
-            first = np.flatnonzero(np.diff(src[part], prepend=-1))
             top = np.maximum.reduceat(x, first)
-            z[src[part][first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(first, append=len(part)))), first))
+            z[own[first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(first, append=len(part)))), first))
+        if linear:
+            z = np.log(sums)
         logp = np.minimum(log_w + z[dst] - z[src], 0.0)
         p = np.exp(logp)
         many = np.diff(arc_at, append=len(src))
@@ -222,29 +243,44 @@ class Model:
         node = int(np.searchsorted(self.node_arc[: self.n_nodes], np.int32(arc), "right")) - 1
         return range(int(self.node_arc[node]), int(self.node_arc[node + 1]) if node + 1 < self.n_nodes else self.n_arcs)
 
-    def spell(self, arcs: np.ndarray) -> np.ndarray:
-        """The ids of a path."""
-        ids = self.ids[arcs]
+    def spell(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path."""
+        sizes = np.array([len(x) for x in paths])
+        ids = self.ids[np.concatenate(paths)] if len(paths) else np.zeros(0, np.int32)
+        ends = np.cumsum(sizes)
         odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids
-        spelt = [self.spelt[-1 - x] for x in ids[odd].tolist()]
-        n = np.array([len(x) for x in spelt])
-        many = np.ones(len(ids), np.int64)
-        many[odd] = n
-        out = np.repeat(ids, many)
-        at = np.repeat((np.cumsum(many) - many)[odd] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out[at] = [y for x in spelt for y in x]
+        if len(odd):
+            spelt = [self.spelt[-1 - x] for x in ids[odd].tolist()]
+            n = np.array([len(x) for x in spelt])
+            many = np.ones(len(ids), np.int64)
+            many[odd] = n
+            upto = np.cumsum(many)
+            out = np.repeat(ids, many)
+            at = np.repeat((upto - many)[odd] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out[at] = [y for x in spelt for y in x]
+            ids, ends = out, np.concatenate(([0], upto))[ends]
+        ids = ids.astype("<u4")
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def decode(self, rows: list[np.ndarray]) -> list[str]:
+        """The texts of rows of ids: pieces' bytes in order, without the space in front."""
+        out, a = [], 0
+        while a < len(rows):
+            b, held = a + 1, len(rows[a])
+            while b < len(rows) and held + len(rows[b]) <= DECODED_IDS:
+                held += len(rows[b])
+                b += 1
+            ids = np.concatenate(rows[a:b]).astype(np.int64)
+            n = self.lengths[ids]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            data = self.flat[np.arange(int(upto[-1])) + np.repeat(self.offsets[ids] - upto[:-1], n)].tobytes()
+            cuts = upto[np.cumsum([0, *map(len, rows[a:b])])].tolist()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                text = data[x:y].decode("utf-8", "replace")
+                out.append(text[1:] if text[:1] == " " else text)
+            a = b
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces' bytes in order, without the space in front."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offsets[ids] - (ends - n), n)
-        text = self.flat[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
-
 
 def _uniform(place: np.ndarray) -> np.ndarray:
     return ((mix(place) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
@@ -402,7 +438,8 @@ def sample_texts(texts: list[str | None], keys: list[int | None], k: int, m: Mod
     """For each text up to k (ids, log-probability, log inclusion score)."""
     units = m.units([t or "" for t in texts])
     found = Search(m, units, [(key or 0) * 2654435761 + 97 for key in keys]).sample(k)
-    return [[(m.spell(a).astype("<u4"), p, i) for a, p, _, i in f] for f in found]
+    ids = iter(m.spell([a for f in found for a, *_ in f]))
+    return [[(next(ids), p, i) for _, p, _, i in f] for f in found]
 
 
 def sample_segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", crc: bool = False) -> DataFrame:
@@ -440,7 +477,9 @@ def decode(samples: DataFrame, path: str | None = None) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            text = [None if x is None else m.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids").to_pylist()
+            there = iter(m.decode([np.frombuffer(x, "<u4") for x in ids if x is not None]))
+            text = [None if x is None else next(there) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "text"])
 
     return samples.mapInArrow(f, schema)
