@@ -77,8 +77,9 @@ def _pairs(met: DataFrame, earlier: str = "x", later: str = "y") -> DataFrame:
 
 
 def _named(pairs: DataFrame) -> DataFrame:
-    """(id, line_no) of the lines in pairs."""
-    return pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(f"{x}_no").alias("line_no")) for x in "ab"])).alias("x")).select("x.*").distinct()
+    """(id, line_no) of the lines in pairs, written."""
+    a, b = (pairs.select(F.col(x).alias("id"), F.col(f"{x}_no").alias("line_no")) for x in "ab")
+    return staged(a.distinct().unionByName(b.distinct()).distinct())
 
 
 def _picked(texts: DataFrame, named: DataFrame) -> DataFrame:
@@ -101,11 +102,12 @@ def _beside(pairs: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(id, line_no) once, of the later lines of the pairs whose words match; drops pairs."""
-    lines = _picked(texts, _named(pairs))
+    named = _named(pairs)
+    lines = _picked(texts, named)
     shared = F.size(F.array_intersect("a_words", "b_words"))
     match = shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
     out = staged(_beside(pairs, lines, "n", "words").where(match).select(F.col("b").alias("id"), F.col("b_no").alias("line_no")).distinct())
-    released(pairs, lines)
+    released(pairs, named, lines)
     return out
 
 
