@@ -22,7 +22,7 @@ BUCKETS = 1 << 18
 #: Lines of more words have a parity signature of 128 bits, others of 64.
 LONG = 64
 #: Of so many tokens at most of its index prefix each line meets the first lines, before the join.
-RAREST = 6
+RAREST = 8
 #: Lets a lambda read the levels, which are a scalar subquery.
 IN_LAMBDA = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 WHERE = ["id", "line_no"]
@@ -63,13 +63,14 @@ def _before(x: str, y: str) -> Column:
     return (F.col(f"{x}.id") < F.col(f"{y}.id")) | ((F.col(f"{x}.id") == F.col(f"{y}.id")) & (F.col(f"{x}.line_no") < F.col(f"{y}.line_no")))
 
 
-def _few_apart(percent: int) -> Column:
-    """A bit in which the parities of x and y differ is a word that one of them lacks."""
+def _few_apart(percent: int, words: Column | None = None) -> Column:
+    """Whether x and y, of so many words together, can match by their parities: a bit in which the parities of x and y differ is a word that one of them lacks."""
     differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     (a, b), (c, d) = ((F.col(f"{x}.bits"), F.col(f"{x}.more")) for x in "xy")
     fold = lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0).cast("long")))
     apart = F.when(b.isNotNull() & d.isNotNull(), differ(a, c) + differ(b, d)).otherwise(differ(fold(a, b), fold(c, d)))
-    return apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    both = F.col("x.n") + F.col("y.n") if words is None else words
+    return apart * (100 + percent) <= both * (100 - percent)
 
 
 def _pairs(met: DataFrame, earlier: str = "x", later: str = "y") -> DataFrame:
@@ -156,15 +157,21 @@ def _last_indexed(n: Column, percent: int) -> Column:
 def _joined(lines: DataFrame, percent: int) -> DataFrame:
     """Pairs of lines (id, line_no, n, bits, more, prefix, open) that share a prefix token and whose later one is open;
     x is the one with fewer words, or the earlier of as many."""
-    own = lines.select(*WHERE, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
-    x = own.where(F.col("at") <= _last_indexed(F.col("n"), percent)).alias("x")
+    # words, place and open in one long: rows are as narrow as can be where they are shuffled and sorted
+    tokens = lines.select(*WHERE, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
+    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    own = tokens.select(*WHERE, "bits", "more", shape.alias("shape"), "token")
+    x = tokens.where(F.col("at") <= _last_indexed(F.col("n"), percent)).select(*WHERE, "bits", "more", shape.alias("shape"), "token").alias("x")
+    n = {i: F.shiftright(f"{i}.shape", 32) for i in "xy"}
+    at = {i: F.shiftright(F.col(f"{i}.shape").bitwiseAND(F.lit((1 << 32) - 1)), 1) for i in "xy"}
+    is_open = {i: F.col(f"{i}.shape").bitwiseAND(F.lit(1).cast("long")) == 1 for i in "xy"}
     # the words from the shared token on are as many as the overlap needs, in both
-    rest = lambda a, b: F.col(f"{a}.n").cast("long") * 100 - F.col(f"{a}.at").cast("long") * (100 + percent) >= F.col(f"{b}.n").cast("long") * percent
-    near = rest("x", "y") & rest("y", "x") & (F.col("x.n") <= F.col("y.n"))
+    rest = lambda a, b: n[a] * 100 - at[a] * (100 + percent) >= n[b] * percent
+    near = rest("x", "y") & rest("y", "x") & (n["x"] <= n["y"])
     first = _before("x", "y")
     # of lines with as many words each is x once and y once
-    kept = F.when(first, F.col("y.open")).otherwise(F.col("x.open") & (F.col("x.n") < F.col("y.n")) & _before("y", "x"))
-    met = x.join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & near & _few_apart(percent) & kept)
+    kept = F.when(first, is_open["y"]).otherwise(is_open["x"] & (n["x"] < n["y"]) & _before("y", "x"))
+    met = x.join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & near & _few_apart(percent, n["x"] + n["y"]) & kept)
     swap = lambda c, one, other: F.when(first, F.col(f"{one}.{c}")).otherwise(F.col(f"{other}.{c}"))
     return staged(met.select(swap("id", "x", "y").alias("a"), swap("line_no", "x", "y").alias("a_no"), swap("id", "y", "x").alias("b"), swap("line_no", "y", "x").alias("b_no")).distinct())
 
