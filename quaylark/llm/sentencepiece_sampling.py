@@ -27,7 +27,7 @@ from quaylark.llm.common import mix, small_batches
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Arcs kept by a worker before it starts anew; bounds its memory.
-MOST_ARCS = 4_000_000
+MOST_ARCS = 3_000_000
 #: Words over this many characters get their lattice alone.
 LONG = 64
 #: Characters of texts that are searched in step.
