@@ -9,8 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quaylark.llm import kdtree_topk, licenses, toxicity
+from quaylark.llm import kdtree_topk, licenses, line_dedup, toxicity
 from quaylark.llm.common import components, table
 from quaylark.llm.hilbert_packing import encoder, hilbert, pack, tail_lengths, token_ids
 from quaylark.llm.kdtree_topk import top_k
@@ -161,6 +163,36 @@ def test_lines_white_space(spark):
     assert {r["doc_id"]: r["text"] for r in without_duplicate_lines(df).collect()} == {0: "one two three\r\nfour five", 2: "one two\nfourfive", 3: "\t\r\n \x0b"}
 
 
+def test_lines_sets(spark, monkeypatch):
+    """No lambda chooses per word, and white space is looked for in bytes; signatures bound the words that lines differ
+    in, across LONG; a prefix begins with the rarest word."""
+    plans = []
+    monkeypatch.setattr(line_dedup, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    r = random.Random(7)
+    every = [f"w{i}" for i in range(150)]
+    texts = [" ".join(r.sample(every, n)) for n in (4, 5, 40, 60, 63, 64, 65, 66, 70, 90, 120, 150)]
+    texts += [" ".join([*t.split()[1:], "\t\r", f"  new{i}"]) for i, t in enumerate(texts)]
+    rows = {x["id"]: x for x in line_dedup._sets(docs(spark, texts).select(F.col("doc_id").alias("id"), line_dedup._spaced(F.col("text")).alias("text")), 80).collect()}
+    words = [set(t.split()) for t in texts]
+    assert [rows[i]["n"] for i in range(len(texts))] == [len(w) for w in words]
+    assert all((rows[i]["more"] is not None) == (len(w) > line_dedup.LONG) for i, w in enumerate(words))
+    for i, a in rows.items():
+        for k, b in rows.items():
+            apart = len(words[i] ^ words[k])
+            if a["more"] is None or b["more"] is None:
+                found = ((a["bits"] ^ (a["more"] or 0)) ^ (b["bits"] ^ (b["more"] or 0))) & (2**64 - 1)
+                bound = found.bit_count()
+            else:
+                bound = sum(((a[c] ^ b[c]) & (2**64 - 1)).bit_count() for c in ("bits", "more"))
+            assert bound <= apart and bound % 2 == apart % 2
+    own = {x["h"]: x["w"] for x in spark.createDataFrame([(w,) for t in words for w in t], "w string").select("w", F.shiftrightunsigned(F.xxhash64("w"), 8).alias("h")).collect()}
+    for i in range(len(texts) // 2, len(texts)):
+        first = own[rows[i]["prefix"][0] & (2**56 - 1)]
+        assert first.startswith("new") or sum(first in w for w in words) == 1
+    (plan,) = plans
+    assert not re.search(r"aggregate\(\w+#\d+, 0, lambdafunction\(if", plan) and not re.search(r"Contains\(text", plan)
+
+
 def test_lines_in_production(spark, tmp_path):
     """One word of nine replaced, and one of eight."""
     nine, eight = "a b c d e f g h i", "q r s t u v w x"
