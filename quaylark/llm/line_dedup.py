@@ -47,11 +47,11 @@ def _bucket(hashed: Column) -> Column:
 
 def _levels(texts: DataFrame) -> Column:
     """An array of BUCKETS levels, 0 to 127, that rise with the logarithm of a bucket's count of tokens over all
-    texts, as a scalar subquery: it is no part of the plan's text."""
+    texts, in the highest byte of longs, as a scalar subquery: it is no part of the plan's text."""
     all_words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
     counts = texts.select(F.explode(all_words).alias("word")).select(_bucket(F.xxhash64("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    level = F.coalesce(F.least(F.floor(F.log2("c") * 3), F.lit(127)), F.lit(0)).cast("tinyint")
-    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", level.alias("level"))
+    level = F.coalesce(F.least(F.floor(F.log2("c") * 3), F.lit(127)), F.lit(0)).cast("long")
+    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.shiftleft(level, 56).alias("level"))
     ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
     some = every.groupBy(F.shiftright("bucket", 10).alias("part")).agg(ordered("bucket", "level").alias("levels"))
     return some.agg(F.flatten(ordered("part", "levels"))).scalar()
@@ -119,9 +119,9 @@ def _sets(texts: DataFrame, percent: int) -> DataFrame:
     """(id, line_no, n, set, set2, prefix, bits, more) of each line. A word counts in the parity bits, or in more if
     its hash is below 0 and the line has over LONG words."""
     spark, levels = texts.sparkSession, _levels(texts)
-    # never null, so that arrays of keys are sorted as longs
-    level = lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
-    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # a lambda is interpreted, so its time is that of its parts: levels come shifted, places stay longs. Never null,
+    # so that arrays of keys are sorted as longs
+    key = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))
     # two spaces leave an empty word
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     lines = _exploded(texts).select(*WHERE, hashes.alias("hashes"))
@@ -140,7 +140,9 @@ def _sets(texts: DataFrame, percent: int) -> DataFrame:
     lines = lines.select("*", halves.alias("halves")).select("*", F.array_position("halves", F.lit(0).cast("long")).cast("int").alias("zero"))
     words = F.when(n > LONG, F.slice("halves", F.col("zero") + 1, n)).otherwise(F.col("hashes"))
     lines = lines.select("*", words.alias("one"), F.slice("halves", 1, F.col("zero") - 1).alias("other"))
-    bits, more = (F.expr(f"aggregate({x}, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))") for x in ("one", "other"))
+    bit = F.lit([-(1 << 63) if i == 63 else 1 << i for i in range(64)]).cast("array<bigint>")
+    flip = lambda a, h: a.bitwiseXOR(F.get(bit, h.bitwiseAND(F.lit(63).cast("long"))))
+    bits, more = (F.aggregate(x, F.lit(0).cast("long"), flip) for x in ("one", "other"))
     return staged(lines.select(*WHERE, n.alias("n"), F.xxhash64("keys").alias("set"), F.hash("keys").alias("set2"), F.when(joins, prefix).alias("prefix"), F.when(joins, bits).alias("bits"), F.when(joins, more).alias("more")))
 
 

@@ -583,3 +583,10 @@ def test_hilbert():
     h = hilbert(cells, 3)
     assert sorted(h.tolist()) == list(range(512))
     assert (np.abs(np.diff(cells[np.argsort(h)], axis=0)).sum(1) == 1).all()
+
+
+def test_levels_come_shifted(spark):
+    texts = spark.createDataFrame([(1, "a a a a\nb"), (2, "a")], "id long, text string")
+    got = spark.range(1).select(line_dedup._levels(texts).alias("x")).first()[0]
+    # five of one word, one of another; log2(5) * 3 is 6.97; buckets without a word have the last level
+    assert Counter(got) == {0: 1, 6 << 56: 1, 127 << 56: line_dedup.BUCKETS - 2}
